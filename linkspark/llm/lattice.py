@@ -66,7 +66,7 @@ class Lattice:
         return array("I", found[0][1]).tobytes(), found[0][0], found[0][0] - found[1][0] if len(found) > 1 else math.inf
 
     def nbest(self, s: str, best: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The best segmentations of a run, best first, ties to the smaller ids from the end backward.
+        """The best segmentations of a run, best first, ties to the way that is nearer the start.
 
         Forward Viterbi gives the exact best score of every beginning; A-star goes from the end backward, where the
         score so far plus that of the beginning left is exactly what the best way on will reach.
@@ -74,9 +74,9 @@ class Lattice:
         into, front = self.edges(s), [0.0]
         for ends in into[1:]:
             front.append(max([front[i] + x for i, x, _ in ends]))
-        heap, out = [(-front[-1], (), len(s), 0.0)], []
+        heap, out, seen = [(-front[-1], len(s), 0.0, ())], [], [0] * (len(s) + 1)
         while heap and len(out) < best:
-            _, tail, j, so_far = heapq.heappop(heap)
+            _, j, so_far, tail = heapq.heappop(heap)
             if not j:
                 ids = []
                 while tail:
@@ -84,8 +84,11 @@ class Lattice:
                     tail = tail[1]
                 out.append((so_far, tuple(ids)))
                 continue
+            if seen[j] == best:  # no more than the `best` best ways from here to the end can count
+                continue
+            seen[j] += 1
             for i, x, ids in into[j]:
-                heapq.heappush(heap, (-(so_far + x + front[i]), (ids, tail), i, so_far + x))
+                heapq.heappush(heap, (-(so_far + x + front[i]), i, so_far + x, (ids, tail)))
         return out
 
     def runs(self, text: str) -> list[str]:
