@@ -15,8 +15,10 @@ from .common import Memo, texts
 from .tokenizing import load
 
 MARK = "▁"
-#: Letters, or other characters, with the marks before them. Files whose pieces are one run each allow cuts between runs.
-RUN = re.compile(f"{MARK}*[^\\W\\d_]+|{MARK}*(?:[^\\w{MARK}]|[\\d_])+|{MARK}+").findall
+#: Letters, or other characters (Latin-1's raised digits and fractions too), with the marks before them. Files whose
+#: pieces are one run each allow cuts between runs; others are segmented whole.
+RAISED = "\xb2\xb3\xb9\xbc-\xbe"
+RUN = re.compile(f"{MARK}*[^\\W\\d_{RAISED}]+|{MARK}*(?:[^\\w{MARK}]|[\\d_{RAISED}])+|{MARK}+").findall
 
 
 class Lattice:
@@ -74,9 +76,9 @@ class Lattice:
         into, front = self.edges(s), [0.0]
         for ends in into[1:]:
             front.append(max([front[i] + x for i, x, _ in ends]))
-        heap, out, seen = [(-front[-1], len(s), 0.0, ())], [], [0] * (len(s) + 1)
+        heap, out, seen, made = [(-front[-1], len(s), 0, 0.0, ())], [], [0] * (len(s) + 1), 0
         while heap and len(out) < best:
-            _, j, so_far, tail = heapq.heappop(heap)
+            _, j, _, so_far, tail = heapq.heappop(heap)
             if not j:
                 ids = []
                 while tail:
@@ -88,7 +90,8 @@ class Lattice:
                 continue
             seen[j] += 1
             for i, x, ids in into[j]:
-                heapq.heappush(heap, (-(so_far + x + front[i]), i, so_far + x, (ids, tail)))
+                made += 1
+                heapq.heappush(heap, (-(so_far + x + front[i]), i, made, so_far + x, (ids, tail)))
         return out
 
     def runs(self, text: str) -> list[str]:
