@@ -31,9 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no earlier stage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written as a table in the shared folder, and read again.
+
+    A lost executor then costs no earlier stage, and the plan that follows starts from the table's own size and columns.
+    Tables are removed by drop() once nothing reads them, and with the application's folder otherwise.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that cut() wrote and that nothing will read again."""
+    for t in tables:
+        spark, path = t.sparkSession, t._table_path
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -77,8 +93,6 @@ class Memo(dict):
         return value
 
 
-WORD_HASH = Memo(xxhash.xxh3_64_intdigest)
-
 U = np.uint64
 
 
@@ -90,7 +104,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:

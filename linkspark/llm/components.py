@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """One operation on edges (a > b): every node's neighbours (large: the larger ones) move to its smallest neighbour."""
+    near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
-        near = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a"))))
-    else:
-        near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        near = near.union(near.select(F.col("v"), F.col("u")))
+    near = cut(near)
     least = cut(near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
-    moved = near.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    moved = moved.where("a > b") if not large else near.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = near.join(least, F.col("u") == F.col("w")).where("v > u" if large else "v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     own = least.where("w > m").select(F.col("w").alias("a"), F.col("m").alias("b"))
-    return cut((moved if large else moved.union(own)).distinct())
+    out = cut((moved if large else moved.union(own)).distinct())
+    drop(near, least, edges)
+    return out
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -40,4 +41,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"no fixed point after {rounds} alternations")
-    return cut(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    ends = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    out = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(ends))
+    drop(edges)
+    return out

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, cut, mix, shingle_hashes, texts, word_hashes
+from .common import U, cut, drop, mix, shingle_hashes, texts, word_hashes
 from .components import components
 
-#: 40 bands of 5 minima: a link at similarity 0.8 shares no band with probability (1 - 0.8**5)**40 = 1e-7.
-BANDS, ROWS = 40, 5
+#: 32 bands of 5 minima: a link at similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
+BANDS, ROWS = 32, 5
 #: Ids up to this number (8 bytes each) are broadcast to pick their documents; beyond it, documents are shuffled.
 FEW_IDS = 1_000_000
 TABLE = "doc_id long, set_key binary, n_shingles long, signature binary"
@@ -31,10 +31,10 @@ def family(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each universal hash x -> (a x + b) >> 32, its least value on the set."""
-    out = np.full(len(a), 2**32 - 1, np.uint32)
-    for at in range(0, len(s), 1024):
-        np.minimum(out, ((a[:, None] * s[None, at : at + 1024] + b[:, None]) >> U(32)).astype(np.uint32).min(axis=1), out=out)
-    return out
+    out = np.full(len(a), 2**64 - 1, np.uint64)
+    for at in range(0, len(s), 128):
+        np.minimum(out, (s[at : at + 128, None] * a[None, :] + b[None, :]).min(axis=0), out=out)
+    return (out >> U(32)).astype(np.uint32)
 
 
 def signed(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -148,7 +148,9 @@ class Verifier:
         if self.sets is None:
             self.sets = cut(sets_of(self.docs, self.ids, self.words, self.wanted))
         x = self.both(likely, self.sets, "shingles").withColumn("both", common("shingles_a", "shingles_b"))
-        return cut(x.where(100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
+        out = cut(x.where(100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
+        drop(likely)
+        return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,12 +184,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         """Members of buckets of over two that hold several components, with theirs."""
         x = cut(members.where("size > 2").select("key", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")))
         mixed = cut(x.groupBy("key").agg(F.min(F.struct("component")).alias("x"), F.max(F.struct("component")).alias("y"), F.min(rank(2)).getField("rid").alias("hub")).where("x <> y").select("key", "hub"))
-        return cut(x.join(mixed, "key"))
+        out = cut(x.join(mixed, "key"))
+        drop(x, mixed)
+        return out
+
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        out = cut(x.union(y))
+        drop(x, y)
+        return out
 
     mixed = labelled()
     second = cut(ordered(mixed, "hub", "rid").join(pairs, ["a", "b"], "left_anti"))
-    links = links.union(verify.links(second))
-    found = components(links)
+    if second.take(1):
+        links = joined(links, verify.links(second))
+        drop(found)
+        found = components(links)
+    drop(mixed)
     mixed = labelled()
     if mixed.take(1):
         p = percent / 100
@@ -199,7 +211,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         near = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
         third = near.where(agreement("sa", "sb") >= least).select("a", "b").distinct()
         third = cut(third.join(pairs, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"))
-        links = links.union(verify.links(third))
-        found = components(links)
+        drop(x, y)
+        if third.take(1):
+            links = joined(links, verify.links(third))
+            drop(found)
+            found = components(links)
+        drop(third)
+    drop(hubs, members, pairs, second, mixed, links, reps, verify.ids, verify.signatures, verify.sets)
     out = table.select("doc_id", "set_key", "n_shingles").join(classes, "set_key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.col("doc_id") == F.col("component_id"))
