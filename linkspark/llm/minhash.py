@@ -120,11 +120,32 @@ def common(a, b):
     return pd.Series(out, dtype="int64")
 
 
+def with_minima(rows: DataFrame) -> DataFrame:
+    """rows with the signature as an array, for comparisons in the JVM."""
+    kept = [c for c in rows.columns if c != "signature"]
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("minima", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        for b in batches:
+            flat = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.int32)
+            each = len(flat) // max(1, b.num_rows)
+            minima = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * each), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), minima], [*kept, "minima"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def likely_share(percent: int, size: int) -> float:
+    """The share of equal minima that a link falls short of with probability 3e-7: 5 standard deviations less than its mean."""
+    p = percent / 100
+    return p - 5 * (p * (1 - p) / size) ** 0.5
+
+
 class Verifier:
     """Confirms pairs, first by their signatures, then on their full sets."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, members: DataFrame, words: int, percent: int):
-        self.percent, ids = percent, cut(members.select("rid").distinct())
+    def __init__(self, docs: DataFrame, reps: DataFrame, members: DataFrame, words: int, percent: int, size: int):
+        self.percent, self.size, ids = percent, size, cut(members.select("rid").distinct())
         at = lambda d, *c: d.select(F.col("doc_id").alias("rid"), *c)
         wanted = at(reps, "set_key")
         self.signatures = cut(at(reps, "n_shingles", "signature").join(ids, "rid", "left_semi"))
@@ -136,12 +157,10 @@ class Verifier:
         return pairs
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link and whose minima agree by at most 7 standard deviations less than a link's."""
-        p = self.percent / 100
-        least = p - 7 * (p * (1 - p) / (BANDS * ROWS)) ** 0.5
+        """Pairs whose sizes allow a link and whose minima agree as a link's do."""
         x = self.both(pairs, self.signatures, "n_shingles", "signature")
         x = x.where(100 * F.least("n_shingles_a", "n_shingles_b") >= self.percent * F.greatest("n_shingles_a", "n_shingles_b"))
-        return x.where(agreement("signature_a", "signature_b") >= least).select("a", "b", F.col("n_shingles_a").alias("n_a"), F.col("n_shingles_b").alias("n_b"))
+        return x.where(agreement("signature_a", "signature_b") >= likely_share(self.percent, self.size)).select("a", "b", F.col("n_shingles_a").alias("n_a"), F.col("n_shingles_b").alias("n_b"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         likely = cut(self.likely(pairs))
@@ -175,7 +194,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     hubs = cut(keys.groupBy("key").agg(F.min(rank(1)).getField("rid").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     members = cut(keys.join(hubs, "key"))
     ordered = lambda d, x, y: d.where(f"{x} <> {y}").select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
-    verify = Verifier(base, reps, members, words, percent)
+    verify = Verifier(base, reps, members, words, percent, bands * rows)
     pairs = cut(ordered(members, "hub", "rid"))
     links = verify.links(pairs)
     found = components(links)
@@ -202,16 +221,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     drop(mixed)
     mixed = labelled()
     if mixed.take(1):
-        p = percent / 100
-        least = p - 7 * (p * (1 - p) / (bands * rows)) ** 0.5
-        own = mixed.join(verify.signatures, "rid")
-        x = own.select("key", F.col("rid").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-        y = own.select("key", F.col("rid").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
-        x, y = cut(x), cut(y)
-        near = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        third = near.where(agreement("sa", "sb") >= least).select("a", "b").distinct()
+        x = with_minima(cut(mixed.join(mixed.groupBy("rid").agg(F.collect_list("key").alias("keys")), "rid").join(verify.signatures, "rid")))
+        x = cut(x)
+        y = x.select(*(F.col(c).alias(f"{c}_b") for c in x.columns))
+        # one band of each pair counts, and its minima are compared within the join: only likely pairs come out of it
+        own = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")
+        agree = F.aggregate(F.zip_with("minima", "minima_b", lambda u, v: F.when(u == v, 1).otherwise(0)), F.lit(0), lambda u, v: u + v)
+        sizes = 100 * F.least("n_shingles", "n_shingles_b") >= percent * F.greatest("n_shingles", "n_shingles_b")
+        near = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("rid") > F.col("rid_b")) & (F.col("component") != F.col("component_b")) & sizes & own & (agree >= likely_share(percent, bands * rows) * bands * rows))
+        third = near.select(F.col("rid").alias("a"), F.col("rid_b").alias("b")).distinct()
         third = cut(third.join(pairs, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"))
-        drop(x, y)
+        drop(x)
         if third.take(1):
             links = joined(links, verify.links(third))
             drop(found)
