@@ -23,8 +23,8 @@ class Suffixes:
 
     def __init__(self, text: str, least: int):
         words = text.split()
-        self.n, self.h = len(words), np.zeros(0, np.uint64)
-        self.at = self.keys = np.zeros(0, np.int64)
+        self.n, self.at = len(words), np.zeros(0, np.int64)
+        self.h = self.keys = np.zeros(0, np.uint64)
         if self.n < least:
             return
         self.h = word_hashes([w.encode("utf-8", "surrogatepass") for w in words])
