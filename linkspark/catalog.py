@@ -1,11 +1,247 @@
-"""Names of the queries and the SQL that says the same."""
+"""Queries of the linkage operators over the tables of a folder, each with the SQL that says the same."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import features, hashing, normalize, similarity
+from .operators import linkage, profile
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        from tempfile import mkdtemp
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp())
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def six(c):
+    return F.round(c, 6)
+
+
+@query("select p_partkey, regexp_replace(translate(lower(p_name), '012459', 'olzqsg'), '[^a-z]', '', 'g') as name, upper(p_brand) as brand, p_brand || '/' || p_type as merged, coalesce(nullif(split_part(p_name, ' ', 1), ''), '') as first_word from part")
+def normalized_parts(spark, sf_dir):
+    p, c = table(spark, sf_dir, "part"), F.col
+    name = normalize.chain(normalize.lower, normalize.digits_to_letters_lower, normalize.replace_pattern("[^a-z]"))
+    return p.select("p_partkey", name(c("p_name")).alias("name"), normalize.upper(c("p_brand")).alias("brand"), normalize.merge(["p_brand", "p_type"], "/").alias("merged"), normalize.split_parts(c("p_name"), " ", 8)[0].alias("first_word"))
+
+
+@query("with s as (select '##' || p_name || '##' as s from part), g as (select substr(s, i, 3) as gram from (select s, unnest(range(1, length(s) - 1)) as i from s)) select gram, count(*) as n from g group by gram")
+def trigram_counts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.explode(features.qgrams(3, "#")(F.col("p_name"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+NAMES = "n as (select distinct p_name as name from part), p as (select a.name as l, b.name as r from n a join n b on a.name < b.name)"
+GRAMS = "list_distinct([substr({0}, i, 3) for i in range(1, length({0}) - 1)])"
+
+
+def name_pairs(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    return n.select(F.col("name").alias("l")).join(n.select(F.col("name").alias("r")), F.col("l") < F.col("r"))
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    """Links of names whose trigrams are similar."""
+    return name_pairs(spark, sf_dir).withColumn("sim", six(similarity.qgram(F.col("l"), F.col("r")))).where("sim >= 0.3")
+
+
+
+
+def jaccard_sql(x: str, y: str) -> str:
+    a, b = GRAMS.format(x), GRAMS.format(y)
+    return f"len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b})))"
+
+
+JACCARD = jaccard_sql("l", "r")
+SCORED = f"with {NAMES}, s as (select l, r, round({JACCARD}, 6) as sim from p), e as (select * from s where sim >= 0.3)"
+
+
+@query(f"with {NAMES} select l, r, round(1 - levenshtein(l, r)::double / greatest(length(l), length(r)), 6) as levenshtein, round({JACCARD}, 6) as qgram, round(jaro_winkler_similarity(l, r), 6) as jaro_winkler, (case when length(l) < length(r) then contains(r, l) else contains(l, r) end)::double as containment, (case when length(l) < length(r) then starts_with(r, l) else starts_with(l, r) end)::double as prefix from p")
+def string_similarities(spark, sf_dir):
+    a, b = F.col("l"), F.col("r")
+    return name_pairs(spark, sf_dir).select("l", "r", six(similarity.levenshtein(a, b)).alias("levenshtein"), six(similarity.qgram(a, b)).alias("qgram"), six(similarity.jaro_winkler(a, b)).alias("jaro_winkler"), similarity.containment(a, b).alias("containment"), similarity.prefix(a, b).alias("prefix"))
+
+
+@query(f"with {NAMES}, t as (select l, r, list_distinct(string_split(l, ' ')) as a, list_distinct(string_split(r, ' ')) as b from p), u as (select l, r, len(list_intersect(a, b)) as c, len(a) as x, len(b) as y from t) select l, r, round(c::double / (x + y - c), 6) as jaccard, round(2.0 * c / (x + y), 6)::double as dice, round(c::double / least(x, y), 6) as overlap, round(c::double / greatest(x, y), 6) as braun_blanquet from u")
+def set_similarities(spark, sf_dir):
+    x = name_pairs(spark, sf_dir).select("l", "r", F.array_distinct(F.split("l", " ")).alias("a"), F.array_distinct(F.split("r", " ")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return x.select("l", "r", six(similarity.set_jaccard(a, b)).alias("jaccard"), six(similarity.set_dice(a, b)).alias("dice"), six(similarity.set_overlap(a, b)).alias("overlap"), six(similarity.set_braun_blanquet(a, b)).alias("braun_blanquet"))
+
+
+SIGNED = "(('0x' || substr({0}, 1, 8))::bigint + 2147483648) % 4294967296 - 2147483648"
+BLOOM = f"""n as (select distinct p_name as name from part),
+g as (select distinct name, substr('##' || name || '##', i, 3) as t from (select name, unnest(range(1, length(name) + 3)) as i from n)),
+h as (select name, {SIGNED.format('sha1(t)')} as h1, {SIGNED.format('md5(t)')} as h2 from g),
+b as (select distinct name, abs((h1 + i * h2 + 2147483648 + 8589934592) % 4294967296 - 2147483648) % 1024 as bit from h, (select unnest(range(4)) as i))"""
+
+
+def bloom(spark, sf_dir) -> DataFrame:
+    """name, bit: Bloom filter positions of each distinct name's trigrams, hashed once for each distinct trigram."""
+    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    g = n.select("name", F.explode(F.array_distinct(features.qgrams(3, "#")(F.col("name")))).alias("t"))
+    bits = g.select("t").distinct().select("t", hashing.double_hashes(F.col("t"), 4, 1024).alias("bits"))
+    return g.join(bits, "t").select("name", F.explode("bits").alias("bit")).distinct()
+
+
+@query(f"with {BLOOM.replace('+ 2147483648 + 8589934592) % 4294967296', '+ 2147483648 + 4 * 4294967296) % 4294967296')}, c as (select name, count(*) as n from b group by name), x as (select p.name as l, q.name as r, count(*) as both from b p join b q on p.bit = q.bit and p.name < q.name group by all) select l, r, both, round(both::double / (c.n + d.n - both), 6) as jaccard, round(both / sqrt(c.n::double) / sqrt(d.n::double), 6) as cosine from x join c on l = c.name join c d on r = d.name")
+def bloom_similarities(spark, sf_dir):
+    b = bloom(spark, sf_dir).groupBy("name").agg(F.collect_list("bit").alias("bits"))
+    v = b.select("name", similarity.words_of(F.col("bits"), 16).alias("bv"), F.size("bits").alias("card"))
+    x = v.select(F.col("name").alias("l"), F.col("bv").alias("lv"), F.col("card").alias("lc")).join(v.select(F.col("name").alias("r"), F.col("bv").alias("rv"), F.col("card").alias("rc")), F.col("l") < F.col("r"))
+    x = x.withColumn("both", similarity.both(F.col("lv"), F.col("rv"), 16).cast("bigint")).where("both > 0")
+    f = lambda kind: six(similarity.binary(kind, F.col("both"), F.col("lc"), F.col("rc"))).alias(kind)
+    return x.select("l", "r", "both", f("jaccard"), f("cosine"))
+
+
+@query(f"with {BLOOM.replace('+ 2147483648 + 8589934592) % 4294967296', '+ 2147483648 + 4 * 4294967296) % 4294967296')} select bit, count(*) as n, round(count(*)::double / (select count(*) from n), 6) as share from b group by bit")
+def bit_frequencies(spark, sf_dir):
+    b = bloom(spark, sf_dir)
+    total = table(spark, sf_dir, "part").select(F.countDistinct("p_name").alias("total"))
+    return b.groupBy(F.col("bit").cast("bigint").alias("bit")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("bit", "n", six(F.col("n") / F.col("total")).alias("share"))
+
+
+@query(f"{SCORED}, x as (select *, rank() over (partition by l order by sim desc) = 1 and count(*) over (partition by l, sim) = 1 as lb, rank() over (partition by r order by sim desc) = 1 and count(*) over (partition by r, sim) = 1 as rb from e) select l, r, sim, case when lb and rb then 'STRONG' when lb or rb then 'NORMAL' else 'WEAK' end as strength from x")
+def link_strengths(spark, sf_dir):
+    return linkage.link_strength(scored(spark, sf_dir))
+
+
+@query(f"{SCORED}, x as (select *, row_number() over (partition by l order by sim desc, r) as n from e) select l, r, sim from x where n = 1")
+def best_of_left(spark, sf_dir):
+    return linkage.max_one_side(scored(spark, sf_dir), "l")
+
+
+@query(f"{SCORED}, d as (select *, count(*) over (partition by l) as l_degree, count(*) over (partition by r) as r_degree from e) select l, r, sim, l_degree, r_degree, least(l_degree, r_degree) as edge_degree, greatest(l_degree, r_degree) as edge_grade, case when l_degree = 1 and r_degree = 1 then '1:1' when r_degree = 1 then '1:n' when l_degree = 1 then 'n:1' else 'n:m' end as kind from d")
+def edge_profiles(spark, sf_dir):
+    return linkage.edge_profile(scored(spark, sf_dir))
+
+
+@query(f"{SCORED}, x as (select *, row_number() over (partition by l order by sim desc, r) as n, lead(sim) over (partition by l order by sim desc, r) as nx from e) select l, round(sim - coalesce(nx, 0), 6) as selectivity from x where n = 1")
+def selectivities(spark, sf_dir):
+    x = linkage.selectivity(scored(spark, sf_dir))
+    return x.select("l", six("selectivity").alias("selectivity"))
+
+
+@query(f"{SCORED} select least(19, greatest(0, floor(sim * 20)))::int as bin, count(*) as n from s group by 1")
+def similarity_histogram(spark, sf_dir):
+    return linkage.histogram(name_pairs(spark, sf_dir).withColumn("sim", six(similarity.qgram(F.col("l"), F.col("r")))), 20)
+
+
+@query(f"{SCORED} select case when sim >= 0.6 then 'DEFINITE_MATCH' when sim >= 0.4 then 'POSSIBLE_MATCH' else 'NON_MATCH' end as status, count(*) as n from s group by 1")
+def classified(spark, sf_dir):
+    x = name_pairs(spark, sf_dir).withColumn("sim", six(similarity.qgram(F.col("l"), F.col("r"))))
+    return x.groupBy(similarity.classify(F.col("sim"), 0.6, 0.4).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def greedy_links(spark, sf_dir):
+    return linkage.greedy_matching(scored(spark, sf_dir))
+
+
+DOCS = r"d as (select doc_id as rid, source as party, md5(text) as gid, substr(regexp_replace(lower(text), '[^a-z0-9_]', '', 'g'), 1, 200) as norm from documents), k as (select rid, party, norm, substr(norm, 1, 12) as key from d where length(norm) >= 12)"
+
+
+def doc_records(spark, sf_dir) -> DataFrame:
+    norm = normalize.chain(normalize.lower, normalize.replace_pattern("[^a-z0-9_]"), normalize.substring(0, 200))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.col("source").alias("party"), F.md5("text").alias("gid"), norm(F.col("text")).alias("norm"), F.lit(False).alias("duplicate_free"))
+
+
+def doc_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    d = doc_records(spark, sf_dir)
+    keys = d.where(F.char_length("norm") >= 12).select("rid", F.lit(0).alias("key_id"), F.substring("norm", 1, 12).alias("key_value"))
+    return d, linkage.candidate_pairs(d, keys)
+
+
+@query(f"with {DOCS}, p as (select distinct a.rid as l, b.rid as r from k a join k b on a.key = b.key and a.rid < b.rid), g as (select gid, count(*) as n from d group by gid), m as (select (select count(*) from p) as candidates, (select count(*) from p join d x on l = x.rid join d y on r = y.rid where x.gid = y.gid) as hits, (select sum(n * (n - 1) // 2)::bigint from g) as truth, (select count(*) from d) as n) select candidates, hits, truth, round(1 - candidates / (n * (n - 1) / 2.0), 6)::double as reduction_ratio, round(hits::double / truth, 6) as pairs_completeness, round(hits::double / candidates, 6) as pairs_quality from m")
+def blocking_measures(spark, sf_dir):
+    x = linkage.blocking_quality(*doc_pairs(spark, sf_dir))
+    return x.select("candidates", "hits", "truth", *(six(c).alias(c) for c in ("reduction_ratio", "pairs_completeness", "pairs_quality")))
+
+
+@query(f"""with recursive {DOCS}, p as (select distinct a.rid as l, b.rid as r, a.norm as x, b.norm as y from k a join k b on a.key = b.key and a.rid < b.rid),
+e as (select l, r from p where {jaccard_sql("x", "y")} >= 0.7),
+u as (select l as a, r as b from e union select r, l from e),
+w as (select rid as a, rid as c from d union select w.a, u.b from w join u on u.a = w.c)
+select a as rid, min(c) as cluster_id from w group by a""")
+def link_documents(spark, sf_dir):
+    """Flagship: normalised documents are blocked, compared within and across sources, and resolved to clusters."""
+    d, pairs = doc_pairs(spark, sf_dir)
+    n = d.select("rid", "norm")
+    x = pairs.join(n.select(F.col("rid").alias("l"), F.col("norm").alias("x")), "l").join(n.select(F.col("rid").alias("r"), F.col("norm").alias("y")), "r")
+    links = x.where(similarity.qgram(F.col("x"), F.col("y")) >= 0.7).select("l", "r")
+    return linkage.link_table(d, links)
+
+
+@query("select coalesce(source, 'total') as party, count(*) as n from documents group by rollup(source)")
+def record_counts(spark, sf_dir):
+    return profile.record_counts(doc_records(spark, sf_dir))
+
+
+@query(f"with {DOCS} select a.party as l_party, b.party as r_party, count(*) as n from d a join d b on a.gid = b.gid and (a.party < b.party or a.party = b.party and a.rid < b.rid) group by all")
+def party_overlaps(spark, sf_dir):
+    return profile.overlaps(doc_records(spark, sf_dir))
+
+
+@query(f"with {DOCS}, g as (select count(*) as n from d group by gid) select count(*) as clusters, median(n)::double as median, round(avg(n), 6) as mean, min(n) as least, max(n) as most, round(stddev_samp(n), 6) as deviation from g")
+def cluster_sizes(spark, sf_dir):
+    x = profile.cluster_sizes(doc_records(spark, sf_dir))
+    return x.select("clusters", "median", six("mean").alias("mean"), "least", "most", six("deviation").alias("deviation"))
+
+
+@query("with v as (select unnest([{'attribute': 'quality', 'value': quality::varchar}, {'attribute': 'lang', 'value': lang}]) as x from documents left join labels using (doc_id)) select x.attribute as attribute, round(avg((x.value is not null and x.value not in ('null', 'NULL', 'Null', 'NaN', ''))::int), 6) as valid, round(avg(coalesce(x.value in ('null', 'NULL', 'Null', 'NaN'), false)::int), 6) as invalid, round(avg(coalesce(x.value = '', false)::int), 6) as empty, round(avg((x.value is null)::int), 6) as missing from v group by 1")
+def attribute_availability(spark, sf_dir):
+    x = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    x = profile.availability(x, ["quality", "lang"])
+    return x.select("attribute", *(six(c).alias(c) for c in ("valid", "invalid", "empty", "missing")))
+
+
+@query("select length(p_name)::int as length, count(*) as n from part group by 1")
+def attribute_lengths(spark, sf_dir):
+    return profile.lengths(table(spark, sf_dir, "part"), "p_name")
+
+
+@query("with x as (select lower(p_name) as value, count(*) as n from part group by 1), t as (select sum(n) as t from x) select value, n, round(n::double / t, 6) as share, round((sum(n) over (order by n desc, value rows unbounded preceding))::double / t, 6) as cumulative from x, t where n >= 2")
+def value_frequencies(spark, sf_dir):
+    x = profile.frequencies(table(spark, sf_dir, "part"), "p_name")
+    return x.select("value", "n", six("share").alias("share"), six("cumulative").alias("cumulative"))
+
+
+@query("select 'two_words' as pattern, count(*) filter (regexp_full_match(lower(p_name), '[a-z]+ [a-z]+')) as n from part union all select 'digits', count(*) filter (regexp_full_match(lower(p_name), '.*[0-9].*')) from part")
+def value_patterns(spark, sf_dir):
+    return profile.patterns(table(spark, sf_dir, "part"), "p_name", {"two_words": "[a-z]+ [a-z]+", "digits": ".*[0-9].*"})
+
+
+@query("with r as (select c_custkey as rid, c_nationkey || c_mktsegment as gid, c_name as a, c_mktsegment as b from customer), x as (select (case when l.a = r.a then 0 else 1 end) + (case when l.b = r.b then 0 else 1 end) as errors, levenshtein(l.a, r.a) + levenshtein(l.b, r.b) as e from r l join r on l.gid = r.gid and l.rid < r.rid) select errors::int as errors, count(*) as pairs, sum(e)::bigint as distance from x group by 1")
+def cluster_differences(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid"), F.concat(F.col("c_nationkey").cast("string"), "c_mktsegment").alias("gid"), F.col("c_name").alias("a"), F.col("c_mktsegment").alias("b"))
+    return profile.differences(c, ["a", "b"])
+
+
+@query("select user_id, min(event_id) as event_id from events group by user_id")
+def first_payloads(spark, sf_dir):
+    """At-least-once delivery: the first event of each sender wins."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
