@@ -99,14 +99,14 @@ def bloom(spark, sf_dir) -> DataFrame:
     return g.join(bits, "t").select("name", F.explode("bits").alias("bit")).distinct()
 
 
-@query(f"with {BLOOM.replace('+ 2147483648 + 8589934592) % 4294967296', '+ 2147483648 + 4 * 4294967296) % 4294967296')}, c as (select name, count(*) as n from b group by name), x as (select p.name as l, q.name as r, count(*) as both from b p join b q on p.bit = q.bit and p.name < q.name group by all) select l, r, both, round(both::double / (c.n + d.n - both), 6) as jaccard, round(both / sqrt(c.n::double) / sqrt(d.n::double), 6) as cosine from x join c on l = c.name join c d on r = d.name")
+@query(f"with {BLOOM.replace('+ 2147483648 + 8589934592) % 4294967296', '+ 2147483648 + 4 * 4294967296) % 4294967296')}, c as (select name, count(*) as n from b group by name), x as (select p.name as l, q.name as r, count(*) as common from b p join b q on p.bit = q.bit and p.name < q.name group by all) select l, r, common, round(common::double / (c.n + d.n - common), 6) as jaccard, round(common / sqrt(c.n::double) / sqrt(d.n::double), 6) as cosine from x join c on l = c.name join c d on r = d.name")
 def bloom_similarities(spark, sf_dir):
     b = bloom(spark, sf_dir).groupBy("name").agg(F.collect_list("bit").alias("bits"))
     v = b.select("name", similarity.words_of(F.col("bits"), 16).alias("bv"), F.size("bits").alias("card"))
     x = v.select(F.col("name").alias("l"), F.col("bv").alias("lv"), F.col("card").alias("lc")).join(v.select(F.col("name").alias("r"), F.col("bv").alias("rv"), F.col("card").alias("rc")), F.col("l") < F.col("r"))
-    x = x.withColumn("both", similarity.both(F.col("lv"), F.col("rv"), 16).cast("bigint")).where("both > 0")
-    f = lambda kind: six(similarity.binary(kind, F.col("both"), F.col("lc"), F.col("rc"))).alias(kind)
-    return x.select("l", "r", "both", f("jaccard"), f("cosine"))
+    x = x.withColumn("common", similarity.both(F.col("lv"), F.col("rv"), 16).cast("bigint")).where("common > 0")
+    f = lambda kind: six(similarity.binary(kind, F.col("common"), F.col("lc"), F.col("rc"))).alias(kind)
+    return x.select("l", "r", "common", f("jaccard"), f("cosine"))
 
 
 @query(f"with {BLOOM.replace('+ 2147483648 + 8589934592) % 4294967296', '+ 2147483648 + 4 * 4294967296) % 4294967296')} select bit, count(*) as n, round(count(*)::double / (select count(*) from n), 6) as share from b group by bit")

@@ -38,7 +38,7 @@ class Sha1Random:
     """SecureRandom's SHA1PRNG from a seed: output is SHA-1 of the state, and the state grows by output and 1."""
 
     def __init__(self, seed: int):
-        self.state = hashlib.sha1((seed & (1 << 64) - 1).to_bytes(8, "big")).digest()
+        self.state = hashlib.sha1((seed & (1 << 64) - 1).to_bytes(8, "little")).digest()
         self.rest = b""
 
     def bits(self, n: int) -> int:
