@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import features, hashing, normalize, similarity
-from .operators import linkage, profile
+from .operators import clustering, linkage, profile
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -153,6 +153,27 @@ def greedy_links(spark, sf_dir):
     return linkage.greedy_matching(scored(spark, sf_dir))
 
 
+def name_clusters(spark, sf_dir, method: str) -> DataFrame:
+    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("rid")).distinct()
+    records = n.select("rid", F.substring("rid", 1, 1).alias("party"))
+    return clustering.clusters(records, scored(spark, sf_dir), method)
+
+
+@query()
+def center_clusters(spark, sf_dir):
+    return name_clusters(spark, sf_dir, "center")
+
+
+@query()
+def markov_clusters(spark, sf_dir):
+    return name_clusters(spark, sf_dir, "markov")
+
+
+@query()
+def source_consistent_clusters(spark, sf_dir):
+    return name_clusters(spark, sf_dir, "source_consistent")
+
+
 DOCS = r"d as (select doc_id as rid, source as party, md5(text) as gid, substr(regexp_replace(lower(text), '[^a-z0-9_]', '', 'g'), 1, 200) as norm from documents), k as (select rid, party, norm, substr(norm, 1, 12) as key from d where length(norm) >= 12)"
 
 
