@@ -16,6 +16,8 @@ from .components import components
 BANDS, ROWS = 32, 5
 #: Ids up to this number (8 bytes each) are broadcast to pick their documents; beyond it, documents are shuffled.
 FEW_IDS = 1_000_000
+#: Hashed counters of the sets that hold a shingle: 8 MB on the driver and each executor. They only order shingles.
+COUNTERS = 1 << 21
 TABLE = "doc_id long, set_key binary, n_shingles long, signature binary"
 
 
@@ -120,19 +122,66 @@ def common(a, b):
     return pd.Series(out, dtype="int64")
 
 
-def with_minima(rows: DataFrame) -> DataFrame:
-    """rows with the signature as an array, for comparisons in the JVM."""
-    kept = [c for c in rows.columns if c != "signature"]
-    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("minima", T.ArrayType(T.IntegerType()))])
+def holders(sets: DataFrame) -> np.ndarray:
+    """How many of the sets hold each shingle, in COUNTERS hashed counters: a bounded table, whatever the sets hold."""
 
     def run(batches):
-        for b in batches:
-            flat = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.int32)
-            each = len(flat) // max(1, b.num_rows)
-            minima = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * each), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), minima], [*kept, "minima"])
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in batch.column("shingles").to_pylist():
+                np.add.at(n, counter(np.frombuffer(s, U)), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["at", "n"])
+
+    found = sets.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int32)
+    out[found.column("at").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
+    return out
+
+
+def counter(s: np.ndarray) -> np.ndarray:
+    return (s % U(COUNTERS)).astype(np.int64)
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """rid, shingle, place, n: the places of each set, rarest shingles first, of which a linked set shares one at least.
+
+    A shingle whose counter is 1 is in one set only; it keeps its place but is not returned.
+    """
+    held = sets.sparkSession.sparkContext.broadcast(counts)
 
-    return rows.mapInArrow(run, schema)
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, out = batch.slice(at, 256), [[], [], [], []]
+                for rid, raw in zip(part.column("rid").to_pylist(), part.column("shingles").to_pylist(), strict=True):
+                    s = np.frombuffer(raw, U)
+                    n, seen = len(s), held.value[counter(s)]
+                    first = np.lexsort((s, seen))[: n + 1 - -(-percent * n // 100)]
+                    place = np.flatnonzero(seen[first] > 1)
+                    for x, y in zip(out, (np.full(len(place), rid), s[first[place]].view(np.int64), place, np.full(len(place), n)), strict=True):
+                        x.append(y.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["rid", "shingle", "place", "n"])
+
+    return sets.mapInArrow(run, "rid long, shingle long, place long, n long")
+
+
+def across(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs in different components (labels: rid, component) that can be linked, by their sets.
+
+    In one order of all shingles, a linked pair's first common shingle stands early enough in both sets that what follows
+    can hold the intersection it needs. Pairs meet at such shingles only. Near copies of one text which are no links of
+    each other have more rare shingles than that, so they don't meet at those that all of them hold.
+    """
+    sets = sets.join(labels.select("rid"), "rid", "left_semi")
+    rows = cut(prefixes(sets, holders(sets), percent).join(labels, "rid"))
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+    x = cut(rows.join(mixed, "shingle", "left_semi"))
+    y = x.select(*(F.col(c).alias(f"{c}_b") for c in x.columns))
+    fits = f"rid > rid_b and component <> component_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and {100 + percent} * least(n - place, n_b - place_b) >= {percent} * (n + n_b)"
+    out = cut(x.join(y, (F.col("shingle") == F.col("shingle_b")) & F.expr(fits)).select(F.col("rid").alias("a"), F.col("rid_b").alias("b")).distinct())
+    drop(rows, x)
+    return out
 
 
 def likely_share(percent: int, size: int) -> float:
@@ -178,9 +227,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     Texts with equal shingle sets are one class, linked through its smallest doc_id; from there on only classes count.
     Classes that share a band are candidates. Within a band's bucket not all pairs are made: all members are compared
     with one hub, twice with hubs picked by different hashes (the second time only in buckets that still hold several
-    components); members of buckets which even then hold several components are compared with every member of another
-    component. A pair within one component adds nothing, so no link between components is lost, whatever a bucket's
-    size. Pairs are verified on signatures and then on full sets.
+    components); members of buckets which even then hold several components meet at the rare shingles of their full sets
+    (see across), where any link between two components is found. A pair within one component adds nothing, so no link
+    between components is lost, whatever a bucket's size. Pairs are verified on signatures and then on full sets.
 
     Null and empty texts, and texts of white space, have an empty set and are linked with nothing; rows with a null id
     get a null component and kept null; rows that repeat an id are classed by their own text; an empty table gives none.
@@ -221,17 +270,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     drop(mixed)
     mixed = labelled()
     if mixed.take(1):
-        x = with_minima(cut(mixed.join(mixed.groupBy("rid").agg(F.collect_list("key").alias("keys")), "rid").join(verify.signatures, "rid")))
-        x = cut(x)
-        y = x.select(*(F.col(c).alias(f"{c}_b") for c in x.columns))
-        # one band of each pair counts, and its minima are compared within the join: only likely pairs come out of it
-        own = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")
-        agree = F.aggregate(F.zip_with("minima", "minima_b", lambda u, v: F.when(u == v, 1).otherwise(0)), F.lit(0), lambda u, v: u + v)
-        sizes = 100 * F.least("n_shingles", "n_shingles_b") >= percent * F.greatest("n_shingles", "n_shingles_b")
-        near = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("rid") > F.col("rid_b")) & (F.col("component") != F.col("component_b")) & sizes & own & (agree >= likely_share(percent, bands * rows) * bands * rows))
-        third = near.select(F.col("rid").alias("a"), F.col("rid_b").alias("b")).distinct()
-        third = cut(third.join(pairs, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"))
-        drop(x)
+        labels = cut(mixed.select("rid", "component").distinct())
+        met = across(verify.sets, labels, percent)
+        third = cut(met.join(pairs, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"))
+        drop(labels, met)
         if third.take(1):
             links = joined(links, verify.links(third))
             drop(found)

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -150,6 +151,21 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == linked(texts, 2)
 
 
+def test_pairs_across_components_lose_no_link(spark):
+    r = random.Random(11)
+    base = [r.getrandbits(63) for _ in range(60)]
+    sets = [{x if r.random() > edits else r.getrandbits(7) for x in base[: r.randint(40, 60)]} for edits in [0.02, 0.08, 0.12, 0.2] * 40]
+    sets += [set(base[:1]), set(base[:1]) | {5}]
+    rows = [(i, np.sort(np.array(list(s), np.uint64)).tobytes()) for i, s in enumerate(sets)]
+    labels = [(i, i % 7) for i in range(len(sets))]
+    got = minhash.across(spark.createDataFrame(rows, "rid long, shingles binary"), spark.createDataFrame(labels, "rid long, component long"), 80)
+    got = {(x["a"], x["b"]) for x in got.collect()}
+    true = {(a, b) for a in range(len(sets)) for b in range(a) if a % 7 != b % 7 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert true and true <= got and all(a > b and a % 7 != b % 7 for a, b in got)
+    far = [(i, np.sort(np.array([*base[:45], *(r.getrandbits(63) for _ in range(15))], np.uint64)).tobytes()) for i in range(200)]
+    assert not minhash.across(spark.createDataFrame(far, "rid long, shingles binary"), spark.createDataFrame([(i, i) for i in range(200)], "rid long, component long"), 80).take(1)
+
+
 def test_components(spark):
     r = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(1000, x) for x in range(1001, 1200)] + [(x, x + 1) for x in range(2000, 2060)]
