@@ -13,12 +13,11 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         near = near.union(near.select(F.col("v"), F.col("u")))
-    near = cut(near)
-    least = cut(near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
     moved = near.join(least, F.col("u") == F.col("w")).where("v > u" if large else "v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     own = least.where("w > m").select(F.col("w").alias("a"), F.col("m").alias("b"))
     out = cut((moved if large else moved.union(own)).distinct())
-    drop(near, least, edges)
+    drop(edges)
     return out
 
 
