@@ -226,10 +226,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     Texts with equal shingle sets are one class, linked through its smallest doc_id; from there on only classes count.
     Classes that share a band are candidates. Within a band's bucket not all pairs are made: all members are compared
-    with one hub, twice with hubs picked by different hashes (the second time only in buckets that still hold several
-    components); members of buckets which even then hold several components meet at the rare shingles of their full sets
-    (see across), where any link between two components is found. A pair within one component adds nothing, so no link
-    between components is lost, whatever a bucket's size. Pairs are verified on signatures and then on full sets.
+    with one hub, picked by a hash, and then, in buckets that still hold several components, with the member whose
+    buckets are the largest, which of near copies is the one most like the others. Members of buckets which even then
+    hold several components meet at the rare shingles of their full sets (see across), where any link between two
+    components is found. A pair within one component adds nothing, so no link between components is lost, whatever a
+    bucket's size. Pairs are verified on signatures and then on full sets.
 
     Null and empty texts, and texts of white space, have an empty set and are linked with nothing; rows with a null id
     get a null component and kept null; rows that repeat an id are classed by their own text; an empty table gives none.
@@ -250,8 +251,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     def labelled() -> DataFrame:
         """Members of buckets of over two that hold several components, with theirs."""
-        x = cut(members.where("size > 2").select("key", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")))
-        mixed = cut(x.groupBy("key").agg(F.min(F.struct("component")).alias("x"), F.max(F.struct("component")).alias("y"), F.min(rank(2)).getField("rid").alias("hub")).where("x <> y").select("key", "hub"))
+        x = cut(members.where("size > 2").select("key", "rid", "size").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")))
+        several = cut(x.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
+        x, whole = cut(x.join(several, "key", "left_semi")), x
+        central = F.struct(F.col("weight"), rank(2).alias("at"))
+        weights = x.groupBy("rid").agg(F.sum("size").alias("weight"))
+        mixed = cut(x.select("key", "rid").join(weights, "rid").groupBy("key").agg(F.max(central).getField("at").getField("rid").alias("hub")))
+        drop(several, whole)
         out = cut(x.join(mixed, "key"))
         drop(x, mixed)
         return out
