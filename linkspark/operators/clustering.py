@@ -32,11 +32,11 @@ def center(s: np.ndarray, least: float = 0.0) -> list[int]:
     return [i if x < 0 else x for i, x in enumerate(label)]
 
 
-def source_consistent(s: np.ndarray, parties: list, least: float = 0.0) -> list[int]:
-    """Clusters merge along the best edges, unless that would put two records of a party together."""
-    label = list(range(len(s)))
+def merged(edges: Edges, parties: list) -> list[int]:
+    """Clusters merge along the edges in order, unless that would put two records of a party together."""
+    label = list(range(len(parties)))
     held = [{p} for p in parties]
-    for _, i, j in ordered(s, least):
+    for _, i, j in edges:
         a, b = label[i], label[j]
         if a != b and not held[a] & held[b]:
             a, b = min(a, b), max(a, b)
@@ -45,6 +45,24 @@ def source_consistent(s: np.ndarray, parties: list, least: float = 0.0) -> list[
     return label
 
 
+def source_consistent(s: np.ndarray, parties: list, least: float = 0.0) -> list[int]:
+    return merged(ordered(s, least), parties)
+
+
+def clip(s: np.ndarray, parties: list, least: float = 0.0) -> list[int]:
+    """As source_consistent, without links that are best for neither end, by priority.
+
+    Half the similarity, a tenth of the smaller degree, and 0.4 for a link best for both ends, 0.2 for one end.
+    """
+    top, degree = s.max(axis=1), (s > 0).sum(axis=1)
+    edges = []
+    for v, i, j in ordered(s, least):
+        best = (s[i, j] == top[i]) + (s[i, j] == top[j])
+        if best:
+            edges.append((0.5 * v - 0.1 * int(min(degree[i], degree[j])) - 0.2 * int(best), i, j))
+    return merged(sorted(edges), parties)
+
+
 def markov(s: np.ndarray, inflation: float = 2.0, most: int = 100, close: float = 1e-6, prune: float = 1e-4) -> list[int]:
     """Flow with self loops is squared and inflated until it rests; a vertex goes to its strongest attractor."""
     n = len(s)
@@ -64,8 +82,11 @@ def markov(s: np.ndarray, inflation: float = 2.0, most: int = 100, close: float
     return m.argmax(axis=0).tolist()
 
 
+METHODS = {"center": lambda s, _: center(s), "markov": lambda s, _: markov(s), "source_consistent": source_consistent, "clip": clip}
+
+
 def clusters(records: DataFrame, links: DataFrame, method: str = "center", least: float = 0.0) -> DataFrame:
-    """rid, cluster_id (the smallest rid) of every record (rid, party), by center, markov or source_consistent.
+    """rid, cluster_id (the smallest rid) of every record (rid, party), by a method of METHODS.
 
     A component is one group and one dense matrix: links must have been classified, so that components stay small.
     """
@@ -83,7 +104,7 @@ def clusters(records: DataFrame, links: DataFrame, method: str = "center", least
         e = pdf[pdf.party.isna()]
         for a, b, v in zip(e["l"], e["r"], e["sim"], strict=True):
             s[at[a], at[b]] = s[at[b], at[a]] = max(v, s[at[a], at[b]])
-        label = center(s) if method == "center" else markov(s) if method == "markov" else source_consistent(s, own.party.tolist())
+        label = METHODS[method](s, own.party.tolist())
         first: dict = {}
         for i, x in enumerate(label):
             first.setdefault(x, ids[i])
