@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import features, hashing, normalize, similarity
-from .operators import clustering, linkage, profile
+from .functions import bits, features, hardening, hashing, lsh, normalize, similarity
+from .operators import clustering, linkage, matching, profile, quality
+from .plans import incremental
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -259,6 +260,118 @@ def first_payloads(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
 
 
+BITS = BLOOM.replace("+ 2147483648 + 8589934592) % 4294967296", "+ 2147483648 + 4 * 4294967296) % 4294967296")
+
+
+def filters(spark, sf_dir) -> DataFrame:
+    """rid, words: the Bloom filter of each distinct name."""
+    return bits.gathered(bloom(spark, sf_dir).select(F.col("name").alias("rid"), "bit"), ["rid"], "bit", 16)
+
+
+def bits_of(vectors: DataFrame, n: int) -> DataFrame:
+    return vectors.select("rid", F.explode(bits.positions(F.col("words"), n)).alias("bit")).select("rid", F.col("bit").cast("bigint").alias("bit"))
+
+
+@query(f"with {BITS}, x as (select name, (bit + 1) % 1024 as bit from b union all select name, (bit + 1023) % 1024 from b) select name as rid, bit::bigint as bit from x group by name, bit having count(*) = 1")
+def hardened_rule90(spark, sf_dir):
+    return bits_of(filters(spark, sf_dir).select("rid", hardening.rule90(F.col("words"), 16).alias("words")), 16)
+
+
+@query(f"with {BITS}, p as (select name, (bit + 1) % 1024 as bit from b), o as (select name, bit from b union select name, (bit + 1023) % 1024 from b), x as (select * from p union all select * from o) select name as rid, bit::bigint as bit from x group by name, bit having count(*) = 1")
+def hardened_rule30(spark, sf_dir):
+    return bits_of(filters(spark, sf_dir).select("rid", hardening.rule30(F.col("words"), 16).alias("words")), 16)
+
+
+@query(f"with {BITS} select name as rid, (bit % 512)::bigint as bit from b group by name, bit % 512 having count(*) = 1")
+def folded_filters(spark, sf_dir):
+    return bits_of(filters(spark, sf_dir).select("rid", similarity.folded(F.col("words"), 16).alias("words")), 8)
+
+
+@query(f"with {BITS}, grid as (select name, unnest(range(1024)) as i from n) select g.name as rid, string_agg(case when b.bit is null then '0' else '1' end, '' order by i) as digits from grid g left join b on b.name = g.name and b.bit = g.i group by g.name")
+def filter_digits(spark, sf_dir):
+    return filters(spark, sf_dir).select("rid", bits.binary_string(F.col("words"), 16).alias("digits"))
+
+
+DRAWN = lsh.sampled_positions(8, 4, 1024, 42)
+DRAWN_SQL = ", ".join(f"({k}, {i}, {p})" for k, group in enumerate(DRAWN) for i, p in enumerate(group))
+
+
+@query(f"with {BITS}, d(key_id, i, bit) as (values {DRAWN_SQL}), k as (select distinct name, key_id from n, d), hit as (select b.name, d.key_id, d.i from b join d on b.bit = d.bit) select k.name as rid, k.key_id::int as key_id, coalesce(string_agg(i::varchar, ',' order by i), '') as key_value from k left join hit h on h.name = k.name and h.key_id = k.key_id group by all")
+def hamming_lsh_keys(spark, sf_dir):
+    return lsh.key_table(filters(spark, sf_dir), lsh.hamming_keys(F.col("words"), DRAWN))
+
+
+@query()
+def jaccard_lsh_keys(spark, sf_dir):
+    return lsh.key_table(filters(spark, sf_dir), lsh.jaccard_keys(F.col("words"), 4, 30, 1024, 42))
+
+
+@query(f"with {DOCS}, p as (select distinct a.rid as l, b.rid as r from k a join k b on a.key = b.key and a.rid < b.rid), g as (select gid, count(*) as n from d where gid is not null group by gid), m as (select (select count(*) from p join d x on l = x.rid join d y on r = y.rid where x.gid = y.gid) as tp, (select count(*) from p) as found, (select sum(n * (n - 1) // 2)::bigint from g) as truth, (select count(*) from d) as n) select tp, found - tp as fp, truth - tp as fn, n * (n - 1) // 2 - truth - (found - tp) as tn, round(tp::double / found, 6) as precision, round(tp::double / truth, 6) as recall, round(2.0 * tp / (found + truth), 6)::double as f1 from m")
+def linkage_quality(spark, sf_dir):
+    x = quality.evaluate(*doc_pairs(spark, sf_dir))
+    return x.select("tp", "fp", "fn", "tn", *(six(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(f"{SCORED}, x as (select *, sum(sim) over (partition by l) as sl, sum(sim) over (partition by r) as sr, max(sim) over (partition by l) = sim as lb, max(sim) over (partition by r) = sim as rb, count(*) over (partition by l, sim) as lc, count(*) over (partition by r, sim) as rc from e), m as (select count(*)::double as links, count(distinct l) as s, count(distinct r) as t, sum(case when lb or rb then sim * sim / sl / sr else 0 end) as p, count(*) filter (lb and lc = 1 and rb and rc = 1) as both_, (select count(*) from n) as a from x) select round(least(s, t) / links, 6) as precision_one_to_one, round((s + t) / (2 * links), 6) as precision_one_to_n, round(p / links, 6) as precision_probability, round(least(1.0, links / a), 6)::double as recall_n_to_m, round(least(1.0, (s + t) / (2.0 * a)), 6)::double as recall_one_to_n, round(least(1.0, (s + t) / (2.0 * a)), 6)::double as recall_one_to_one, round(both_::double / a, 6) as harmony from m")
+def structure_estimates(spark, sf_dir):
+    n = table(spark, sf_dir, "part").select("p_name").distinct().count()
+    x = quality.structure(scored(spark, sf_dir), n, n)
+    return x.select(*(six(c).alias(c) for c in x.columns))
+
+
+@query(f"{SCORED}, t(threshold) as (values (0.3::double), (0.4::double), (0.5::double), (0.6::double)) select threshold, count(*) as links, count(distinct l) as l, count(distinct r) as r from e join t on sim >= threshold group by threshold")
+def threshold_sweep(spark, sf_dir):
+    return quality.sweep(scored(spark, sf_dir), [0.3, 0.4, 0.5, 0.6])
+
+
+def two_sided(spark, sf_dir) -> DataFrame:
+    return scored(spark, sf_dir).select(F.concat(F.lit("l "), "l").alias("l"), F.concat(F.lit("r "), "r").alias("r"), "sim")
+
+
+@query()
+def gale_shapley_links(spark, sf_dir):
+    return matching.matching(two_sided(spark, sf_dir), "gale_shapley")
+
+
+@query()
+def maximum_weight_links(spark, sf_dir):
+    return matching.matching(two_sided(spark, sf_dir), "maximum_weight")
+
+
+@query()
+def maximum_cardinality_links(spark, sf_dir):
+    return matching.matching(two_sided(spark, sf_dir), "maximum_cardinality")
+
+
+@query()
+def greedy_cardinality_links(spark, sf_dir):
+    return matching.matching(two_sided(spark, sf_dir), "greedy_cardinality")
+
+
+@query()
+def clip_links(spark, sf_dir):
+    return matching.clip(two_sided(spark, sf_dir))
+
+
+@query()
+def clip_clusters(spark, sf_dir):
+    return name_clusters(spark, sf_dir, "clip")
+
+
+@query()
+def incremental_links(spark, sf_dir):
+    """Records of the first source are history, clustered on their own; those of the others arrive and join them."""
+    d, pairs = doc_pairs(spark, sf_dir)
+    n = d.select("rid", "norm", F.coalesce("party", F.lit("")).alias("party"))
+    first = n.agg(F.min("party").alias("first"))
+    n = n.crossJoin(F.broadcast(first)).withColumn("old", F.col("party") == F.col("first")).drop("first")
+    side = lambda v: n.select(F.col("rid").alias(v), F.col("norm").alias(f"{v}n"), F.col("old").alias(f"{v}o"))
+    x = pairs.join(side("l"), "l").join(side("r"), "r").withColumn("sim", six(similarity.qgram(F.col("ln"), F.col("rn")))).where("sim >= 0.7").select("l", "r", "sim", "lo", "ro").checkpoint()
+    history = linkage.link_table(n.where("old"), x.where("lo and ro")).join(n.select("rid", "party"), "rid")
+    new, old = F.when(F.col("lo"), F.col("r")).otherwise(F.col("l")), F.when(F.col("lo"), F.col("l")).otherwise(F.col("r"))
+    return incremental.plan(n.where("not old"), history, x.where("not lo and not ro"), x.where("lo != ro").select(new.alias("l"), old.alias("r"), "sim"), [])
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .similarity import both, ones
@@ -75,6 +75,14 @@ def short_string(words: Column, n: int) -> Column:
     return F.array_join(positions(words, n), ",")
 
 
+def gathered(rows: DataFrame, by: list[str], position: str, n: int) -> DataFrame:
+    """by, words: the vector of each group's positions, by partial aggregates of n words, without lists of positions."""
+    p = F.col(position).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast(BIG), F.pmod(p, F.lit(64)))
+    x = rows.groupBy(*by).agg(*(F.bit_or(F.when(F.floor(p / 64) == i, one)).alias(f"__w{i}") for i in range(n)))
+    return x.select(*by, F.array(*(F.coalesce(f"__w{i}", F.lit(0).cast(BIG)) for i in range(n))).alias("words"))
+
+
 def hex_bytes(words: Column, n: int) -> Column:
     """Two hexadecimal digits a byte, lowest byte first."""
     byte = lambda i, j: F.lpad(F.hex(F.shiftrightunsigned(word(words, i), 8 * j).bitwiseAND(F.lit(255).cast(BIG))), 2, "0")

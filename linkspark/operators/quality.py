@@ -38,16 +38,16 @@ def f_measure(recall: Column, precision: Column) -> Column:
 def true_pairs(records: DataFrame) -> DataFrame:
     """truth, most: pairs to be found and pairs that may be compared; within a party only if it is not free of duplicates.
 
-    Counted from group sizes; no pair is formed.
+    Counted from group sizes; no pair is formed. Records without gid are true pairs of none.
     """
-    def pairs(by: list[str]) -> DataFrame:
-        n = records.groupBy(*by, "party").agg(F.count(F.lit(1)).alias("n"), F.max("duplicate_free").alias("free"))
+    def pairs(by: list[str], rows: DataFrame) -> DataFrame:
+        n = rows.groupBy(*by, "party").agg(F.count(F.lit(1)).alias("n"), F.max("duplicate_free").alias("free"))
         own = F.when(F.col("free"), 0).otherwise(F.expr("n * (n - 1) div 2"))
         g = n.groupBy(*by) if by else n.groupBy()
         x = g.agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.sum(own).alias("own"))
         return x.agg(F.sum(F.expr("(s * s - q) div 2") + F.col("own")).alias("v"))
 
-    return pairs(["gid"]).select(F.coalesce("v", F.lit(0)).alias("truth")).crossJoin(pairs([]).select(F.coalesce("v", F.lit(0)).alias("most")))
+    return pairs(["gid"], records.where("gid is not null")).select(F.coalesce("v", F.lit(0)).alias("truth")).crossJoin(pairs([], records).select(F.coalesce("v", F.lit(0)).alias("most")))
 
 
 def evaluate(records: DataFrame, links: DataFrame) -> DataFrame:
