@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bits, features, hardening, hashing, lsh, normalize, similarity
-from .operators import clustering, linkage, matching, profile, quality
+from .operators import clustering, linkage, matching, profile, quality, similar
 from .plans import incremental
 
 QUERIES: dict = {}
@@ -209,6 +209,19 @@ def link_documents(spark, sf_dir):
     return linkage.link_table(d, links)
 
 
+def whole_records(spark, sf_dir) -> DataFrame:
+    """rid, party, norm: the whole normalised texts."""
+    norm = normalize.chain(normalize.lower, normalize.replace_pattern("[^a-z0-9_]"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.coalesce("source", F.lit("")).alias("party"), norm(F.col("text")).alias("norm"))
+
+
+@query()
+def link_whole_documents(spark, sf_dir):
+    """As link_documents, but whole texts are blocked and compared, by their character 8-grams; short ones too."""
+    d = whole_records(spark, sf_dir)
+    return linkage.link_table(d, similar.similar_links(*similar.similar_classes(d, 0.7)))
+
+
 @query("select coalesce(source, 'total') as party, count(*) as n from documents group by rollup(source)")
 def record_counts(spark, sf_dir):
     return profile.record_counts(doc_records(spark, sf_dir))
@@ -361,15 +374,20 @@ def clip_clusters(spark, sf_dir):
 @query()
 def incremental_links(spark, sf_dir):
     """Records of the first source are history, clustered on their own; those of the others arrive and join them."""
-    d, pairs = doc_pairs(spark, sf_dir)
-    n = d.select("rid", "norm", F.coalesce("party", F.lit("")).alias("party"))
-    first = n.agg(F.min("party").alias("first"))
-    n = n.crossJoin(F.broadcast(first)).withColumn("old", F.col("party") == F.col("first")).drop("first")
-    side = lambda v: n.select(F.col("rid").alias(v), F.col("norm").alias(f"{v}n"), F.col("old").alias(f"{v}o"))
-    x = pairs.join(side("l"), "l").join(side("r"), "r").withColumn("sim", six(similarity.qgram(F.col("ln"), F.col("rn")))).where("sim >= 0.7").select("l", "r", "sim", "lo", "ro").checkpoint()
-    history = linkage.link_table(n.where("old"), x.where("lo and ro")).join(n.select("rid", "party"), "rid")
-    new, old = F.when(F.col("lo"), F.col("r")).otherwise(F.col("l")), F.when(F.col("lo"), F.col("l")).otherwise(F.col("r"))
-    return incremental.plan(n.where("not old"), history, x.where("not lo and not ro"), x.where("lo != ro").select(new.alias("l"), old.alias("r"), "sim"), [])
+    d = whole_records(spark, sf_dir)
+    members, found = similar.similar_classes(d, 0.7)
+    n = d.select("rid", "party").crossJoin(F.broadcast(d.agg(F.min("party").alias("first"))))
+    n = n.select("rid", "party", (F.col("party") == F.col("first")).alias("old")).checkpoint()
+    found = found.withColumn("sim", six("sim"))
+    parts = {k: members.join(n.where(f"old = {k}").select("rid"), "rid", "left_semi") for k in ("true", "false")}
+
+    def within(part: DataFrame) -> DataFrame:
+        first = part.groupBy("cls").agg(F.min("rid").alias("first"))
+        own = part.join(first, "cls").where("rid > first").select(F.col("first").alias("l"), F.col("rid").alias("r"))
+        return own.union(similar.between(part, part, found).where("l < r").select("l", "r"))
+
+    history = linkage.link_table(n.where("old"), within(parts["true"])).join(n.select("rid", "party"), "rid")
+    return incremental.plan(n.where("not old"), history, within(parts["false"]), similar.between(parts["false"], parts["true"], found), [])
 
 
 def queries() -> dict:

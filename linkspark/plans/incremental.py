@@ -30,9 +30,13 @@ def touched(history_keys: DataFrame, history: DataFrame, fresh_keys: DataFrame)
 
 
 def scores(links: DataFrame, groups: DataFrame, history: DataFrame) -> DataFrame:
-    """g, cluster_id, sim (largest), mean, shared (links), weight: of links (l fresh, r history, sim)."""
-    x = links.join(groups.withColumnRenamed("rid", "l"), "l").join(history.select(F.col("rid").alias("r"), "cluster_id"), "r")
-    x = x.groupBy("g", "cluster_id").agg(F.max("sim").alias("sim"), F.avg("sim").alias("mean"), F.count(F.lit(1)).alias("shared"))
+    """g, cluster_id, sim (largest), mean, shared (links), weight: of links (l fresh, r history, sim).
+
+    A column n, if there is one, is the number of equal links that a row stands for.
+    """
+    n = F.col("n") if "n" in links.columns else F.lit(1)
+    x = links.withColumn("n", n.cast("long")).join(groups.withColumnRenamed("rid", "l"), "l").join(history.select(F.col("rid").alias("r"), "cluster_id"), "r")
+    x = x.groupBy("g", "cluster_id").agg(F.max("sim").alias("sim"), (F.sum(F.col("sim") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("shared"))
     return x.withColumn("weight", F.col("sim") + 1e-6 * F.col("mean") + 1e-9 * F.col("shared"))
 
 
