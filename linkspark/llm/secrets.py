@@ -17,6 +17,8 @@ KNOWN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(KNOWN) + 2
 #: Digests, and words, that the labelled samples are made of, at most; log-likelihood ratio (nats) a character, from which on a string is random.
 SAMPLE, THRESHOLD = 2_000, 0.9
+#: Least characters of a scored string, and those beside which its parts may begin and end: the last ones of KNOWN.
+LEAST, EDGES = 16, "+/_=-"
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -68,7 +70,8 @@ def scan(docs: DataFrame, model: tuple[list[float], float], id_col: str = "doc_i
 
     Matches of a pattern are taken with the pieces of text between them, whose lengths add up to their places. Strings
     of 16 or more characters with letters and digits that overlap no other span are scored by the models' ratio; those
-    above the threshold are spans of the kind random. Null texts count as empty and have no spans; repeated rows give
+    above the threshold are spans of the kind random. Of the others, the parts between separators that reach it are, as
+    a path or a name before a random string must not hide it. Null texts count as empty and have no spans; repeated rows give
     repeated rows; an empty table gives none. With `keep`, the result has those columns of docs and __spans instead.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -104,10 +107,54 @@ def scan(docs: DataFrame, model: tuple[list[float], float], id_col: str = "doc_i
         codes = F.concat(F.array(F.lit(0)), symbols(s))
         return F.aggregate(F.sequence(F.lit(2), F.size(codes)), F.lit(0.0), lambda acc, i: acc + F.element_at(ratio, F.element_at(codes, i - 1) * SIZE + F.element_at(codes, i) + 1)) / F.char_length(s)
 
+    state = "struct<sum:double,late:double,low:double,start:int,base:double,best:double,out:array<struct<start:int,end:int>>>"
+
+    def parts(s):
+        """(start, end) of disjoint parts of s, from edge to edge and of LEAST or more characters, of which the mean
+        ratio reaches the threshold: in order, one for every place where such a part ends that no part before holds.
+
+        One pass: sum is that of ratios less threshold, late the same LEAST characters before. low is the least late at
+        an edge (as if the string began there), so a part ends at an edge where sum is low or more. It grows to later
+        edges while its own sum (sum less base) does; the next one begins behind it.
+        """
+        codes = F.concat(F.array(F.lit(0)), symbols(s))
+        move = lambda x, y: F.element_at(ratio, x * SIZE + y + 1)
+        edge = lambda c: c.between(len(KNOWN) - len(EDGES) + 1, len(KNOWN))
+
+        def scanned(c):
+            n = F.size(c) - 1
+            code = lambda i: F.element_at(c, F.greatest(i, F.lit(0)) + 1)
+
+            def step(acc, j):
+                i = j - LEAST  # characters before a part of LEAST characters that ends here
+                total = acc["sum"] + move(code(j - 1), code(j)) - model[1]
+                late = F.when(i > 0, acc["late"] + move(code(i - 1), code(i)) - model[1]).otherwise(F.lit(0.0))
+                at = late + move(code(i), code(i + 1)) - move(F.lit(0), code(i + 1))
+                behind = F.coalesce(F.get(acc["out"], F.size(acc["out"]) - 1)["end"], F.lit(0))
+                lower = (i >= behind) & ((i == 0) | edge(code(i))) & (at < acc["low"])
+                low, start = F.when(lower, at).otherwise(acc["low"]), F.when(lower, i).otherwise(acc["start"])
+                ends = (j == n) | edge(code(F.least(j + 1, n)))
+                grows = ends & (F.size(acc["out"]) > 0) & (total - acc["base"] > acc["best"])
+                new = ends & ~grows & (total >= low)
+                last = F.get(acc["out"], F.size(acc["out"]) - 1)
+                out = F.when(grows, F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), j.alias("end")))))
+                out = out.when(new, F.concat(acc["out"], F.array(F.struct(start.alias("start"), j.alias("end"))))).otherwise(acc["out"])
+                base = F.when(new, low).otherwise(acc["base"])
+                best = F.when(grows | new, total - base).otherwise(acc["best"])
+                low = F.when(grows | new, F.lit(math.inf)).otherwise(low)
+                return F.struct(*(v.alias(k) for k, v in {"sum": total, "late": late, "low": low, "start": start, "base": base, "best": best, "out": out}.items())).cast(state)
+
+            none = F.struct(F.lit(0.0), F.lit(0.0), F.lit(math.inf), F.lit(0), F.lit(0.0), F.lit(0.0), F.array()).cast(state)
+            return F.aggregate(F.sequence(F.lit(1), n), none, step, lambda acc: acc["out"])
+
+        return F.element_at(F.transform(F.array(codes), scanned), 1)
+
     own = lambda x: F.element_at(F.col("random_m"), x["i"])
     free = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    rows = rows.withColumn("random_p", F.filter("random_p", lambda x: own(x).rlike("[0-9]") & own(x).rlike("[A-Za-z]") & free(x)))
-    rows = rows.withColumn("random_p", F.filter("random_p", lambda x: score(own(x)) >= model[1]))
+    moved = lambda x: F.transform(parts(own(x)), lambda y: F.struct((x["start"] + y["start"]).alias("start"), x["kind"].alias("kind"), (x["start"] + y["end"]).alias("end"), x["i"].alias("i")))
+    rows = rows.withColumn("random_p", F.filter("random_p", lambda x: own(x).rlike("[0-9]") & own(x).rlike("[A-Za-z]")))
+    found = lambda x: F.when(free(x) & (score(own(x)) >= model[1]), F.array(x)).when(own(x).rlike(f"[{EDGES}]"), F.filter(moved(x), free)).otherwise(F.slice(F.array(x), 1, 0))
+    rows = rows.withColumn("random_p", F.flatten(F.transform("random_p", found)))
     spans = F.array_sort(F.concat("base", "random_p"))
     return rows.select("row.*", spans.alias("__spans")) if keep else rows.select("doc_id", "text", "base", spans.alias("spans"))
 

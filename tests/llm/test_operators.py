@@ -225,6 +225,29 @@ def test_secrets(spark, docs):
     assert kept[12]["text"] == 'x [SECRET]" [SECRET] y' and kept[1]["text"] == TEXTS[1]
 
 
+def keys(n: int, size: int, alphabet: str) -> list[str]:
+    r = random.Random(size)
+    return ["".join(r.choice(alphabet) for _ in range(size)) for _ in range(n)]
+
+
+def test_secrets_behind_names(spark):
+    """Random keys are found whole after paths and names, before them, twice in a run, as often as alone; paths alone are not."""
+    w, base62 = [x for x in VOCABULARY if len(x) > 4], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = keys(100, 32, base62)
+    forms = ["{k}", "{a}/{k}", "{a}_{b}_{k}", "{a}/{b}/{c}/{k}", "{k}/{a}/{b}/{c}", "{k}/{a}/{b}/{c}/{a}/{b}/{j}", "{a}/{b}/{c}/v12"]
+    rows = []
+    for i, k in enumerate(found):
+        names = {"a": w[i], "b": w[i + 40], "c": w[(i * 7) % len(w)], "k": k, "j": found[i - 1]}
+        rows += [(i * 10 + f, "see " + form.format(**names) + " end", [x for x in (k, names["j"]) if x in form.format(**names)]) for f, form in enumerate(forms)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: [(int(a), int(b)) for a, b in (x.split(":")[1:] for x in r["spans"].split(",") if x)] for r in secrets.report(secrets.scan(df, model(spark))).collect()}
+    share = defaultdict(list)
+    for i, text, held in rows:
+        share[i % 10] += [any(a <= text.index(k) and text.index(k) + len(k) <= b for a, b in got[i]) for k in held] or [not got[i]]
+    share = [float(np.mean(share[f])) for f in range(len(forms))]
+    assert share[0] > 0.4 and min(share[1:]) >= share[0], share
+
+
 def test_repeats(spark, docs):
     got = {r["doc_id"]: r for r in suffix.repeats(docs, 50).collect()}
     seen = defaultdict(list)
