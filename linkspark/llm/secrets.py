@@ -38,13 +38,15 @@ def random_strings(spark: SparkSession, n: int) -> DataFrame:
 def ordinary_strings(texts: DataFrame, n: int) -> DataFrame:
     """Labelled samples of ordinary identifiers: distinct words of prose (column text), alone and joined as names are.
 
-    With letters they hold the usual short numbers of names; the n of least hash are taken.
+    With letters they hold the usual short numbers of names; the n of least hash are taken. Lines and fillings of one
+    character are ordinary as well, for each word one of a character picked by its hash.
     """
     words = texts.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w")).distinct()
     words = words.orderBy(F.xxhash64("w"), "w").limit(n)
     w, small = F.col("w"), F.lower("w")
     num = F.pmod(F.xxhash64(F.lit(7), "w"), F.lit(40)).cast("string")
     forms = F.array(w, F.concat(small, small), F.concat_ws("_", small, small, num), F.concat(small, F.initcap(small)), F.concat_ws("-", small, F.upper(w), F.lit("2024-01")), F.upper(w), F.concat_ws("/", small, small, F.concat(F.lit("v"), num)))
+    forms = F.concat(forms, F.array(F.concat(small, small, small), F.concat(w, F.initcap(small), F.initcap(small)), F.repeat(F.substring(F.lit(KNOWN), F.pmod(F.xxhash64(F.lit(8), "w"), F.lit(len(KNOWN))).cast("int") + 1, F.lit(1)), F.lit(40))))
     return words.select(F.explode(forms).alias("string"), F.lit(0).alias("secret"))
 
 
@@ -69,7 +71,7 @@ def scan(docs: DataFrame, model: tuple[list[float], float], id_col: str = "doc_i
     """doc_id, text and spans (start, kind number, end) of every row, in order of start and kind.
 
     Matches of a pattern are taken with the pieces of text between them, whose lengths add up to their places. Strings
-    of 16 or more characters with letters and digits that overlap no other span are scored by the models' ratio; those
+    of 16 or more characters that overlap no other span are scored by the models' ratio; those
     above the threshold are spans of the kind random. Of the others, the parts between separators that reach it are, as
     a path or a name before a random string must not hide it. Null texts count as empty and have no spans; repeated rows give
     repeated rows; an empty table gives none. With `keep`, the result has those columns of docs and __spans instead.
@@ -152,7 +154,6 @@ def scan(docs: DataFrame, model: tuple[list[float], float], id_col: str = "doc_i
     own = lambda x: F.element_at(F.col("random_m"), x["i"])
     free = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     moved = lambda x: F.transform(parts(own(x)), lambda y: F.struct((x["start"] + y["start"]).alias("start"), x["kind"].alias("kind"), (x["start"] + y["end"]).alias("end"), x["i"].alias("i")))
-    rows = rows.withColumn("random_p", F.filter("random_p", lambda x: own(x).rlike("[0-9]") & own(x).rlike("[A-Za-z]")))
     found = lambda x: F.when(free(x) & (score(own(x)) >= model[1]), F.array(x)).when(own(x).rlike(f"[{EDGES}]"), F.filter(moved(x), free)).otherwise(F.slice(F.array(x), 1, 0))
     rows = rows.withColumn("random_p", F.flatten(F.transform("random_p", found)))
     spans = F.array_sort(F.concat("base", "random_p"))

@@ -248,6 +248,20 @@ def test_secrets_behind_names(spark):
     assert share[0] > 0.4 and min(share[1:]) >= share[0], share
 
 
+def test_secrets_of_letters_or_digits_only(spark):
+    """The ratio decides on strings without digits or without letters too; compounds and lines are ordinary."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    w = [x for x in VOCABULARY if len(x) > 5]
+    kinds = [keys(100, 32, letters), keys(100, 20, "0123456789"), [a + b + c for a, b, c in zip(w, w[30:], w[60:], strict=False)], [c * 60 for c in secrets.KNOWN]]
+    rows = [(k * 1000 + i, f"see {x} end") for k, kind in enumerate(kinds) for i, x in enumerate(kind)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    share = defaultdict(list)
+    for r in secrets.report(secrets.scan(df, model(spark))).collect():
+        share[r["doc_id"] // 1000].append(r["n_random"] > 0)
+    share = [float(np.mean(share[k])) for k in range(4)]
+    assert share[0] > 0.9 and share[1] > 0.9 and share[2] < 0.02 and share[3] == 0, share
+
+
 def test_repeats(spark, docs):
     got = {r["doc_id"]: r for r in suffix.repeats(docs, 50).collect()}
     seen = defaultdict(list)
