@@ -28,9 +28,9 @@ def op2_chat(spark, sf_dir):
 
 
 def op3_simhash(spark, sf_dir):
-    """near_found, for ids divisible by 50: other documents whose fingerprint differs in at most 3 bits."""
+    """near_found, for ids divisible by 50: other documents whose fingerprint differs in at most 27 bits."""
     made = cut(simhash.fingerprints(table(spark, sf_dir, "documents")))
-    found = simhash.within(made.select("high", "low"), made.where("doc_id % 50 = 0").select("doc_id", "high", "low"), 3)
+    found = simhash.within(made.select("high", "low"), made.where("doc_id % 50 = 0").select("doc_id", "high", "low"), simhash.RADIUS)
     found = found.groupBy(F.col("doc_id").alias("asked")).agg(F.max("near_found").alias("near_found"))
     return made.join(found, F.col("doc_id") == F.col("asked"), "left").drop("high", "low", "asked")
 

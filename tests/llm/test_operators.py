@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkspark.llm import chat, components, langid, lattice, minhash, neighbours, packing, secrets, simhash, suffix, tokencount
+from linkspark.llm import chat, components, langid, lattice, minhash, neighbours, packing, queries, secrets, simhash, suffix, tokencount
 from linkspark.llm.common import fresh_path
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -109,6 +109,24 @@ def test_block_tables_find_every_radius(spark):
     assert got == {x[0]: sum(bits(x, y) <= 3 for y in rows) - 1 for x in rows}
 
 
+def test_simhash_finds_edited_copies(spark, tmp_path):
+    """Copies of similarity 0.8 and more are found, and every count is that of brute force."""
+    r, rows = random.Random(5), []
+    for i in range(60):
+        words = prose(300, 5000 + i).split()
+        for at in r.sample(range(300), i % 7):
+            words[at] = f"new{at}"
+        rows += [(50 * i, prose(300, 5000 + i)), (50 * i + 1, " ".join(words))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x["near_found"] for x in queries.op3_simhash(spark, str(tmp_path)).collect()}
+    marks = {i: simhash.fingerprint(t) for i, t in rows}
+    differ = lambda i, j: int(np.unpackbits(marks[i] ^ marks[j]).sum())
+    assert got == {i: None if i % 50 else sum(differ(i, j) <= simhash.RADIUS for j in marks if j != i) for i in marks}
+    text, likeness = dict(rows), lambda a, b: len(a & b) / len(a | b)
+    near = [i for i in got if i % 50 == 0 and likeness(shingles(text[i], 5), shingles(text[i + 1], 5)) >= 0.8]
+    assert len(near) > 50 and np.mean([got[i] > 0 for i in near]) >= 0.95
+
+
 def shingles(text: str, k: int) -> set:
     w = text.encode().lower().split()
     n = min(k, len(w))
