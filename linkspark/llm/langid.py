@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 import zstandard
@@ -14,6 +15,8 @@ from .common import texts
 
 #: Training documents of a language at most, bytes taken of each, bytes of a text that are coded at once, and zstandard's level.
 SAMPLE, PART, BLOCK, LEVEL = 160, 1024, 1024, 3
+#: Places of a longer training text that its bytes are taken from.
+PLACES = 8
 #: Margin under which a prediction is rejected, and the letters that a text must have to show a margin at all.
 NARROW, LETTERS = 0.004, 40
 #: Runs of anything but letters count as one space, and case does not count.
@@ -41,7 +44,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     first = first.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id", "text"))).where(F.col("nth") <= SAMPLE)
     found: dict[str, list[bytes]] = {}
     for r in first.select("lang", "nth", "text").orderBy("lang", "nth").collect():
-        found.setdefault(r["lang"], []).append(normal(r["text"])[:PART])
+        found.setdefault(r["lang"], []).append(taken(normal(r["text"])))
     return {k: b"\n".join(found[k]) for k in sorted(found, key=lambda k: (-counts[k], k))}
 
 
@@ -49,6 +52,15 @@ def normal(text: str) -> bytes:
     return NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
 
+def taken(raw: bytes) -> bytes:
+    """PART bytes at most: of a longer text, as many from a hashed place in each of PLACES equal stretches."""
+    if len(raw) <= PART:
+        return raw
+    size, edges = PART // PLACES, [len(raw) * k // PLACES for k in range(PLACES + 1)]
+    starts = (a + zlib.crc32(raw, k) % (b - a - size + 1) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    return b"".join(raw[i : i + size] for i in starts)
+
+
 class Coder:
     """Compressed sizes of a text, in blocks, with each language's dictionary."""
 

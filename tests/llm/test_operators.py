@@ -316,6 +316,16 @@ def test_language(spark):
     assert langid.accepted(df, langid.fit(df)).count() >= 595
 
 
+def test_dictionaries_look_past_an_opening(spark):
+    """Training bytes come from the whole text, so a common opening in another language does not fill the dictionary."""
+    opening, rows = "the wing thing " * 100, []
+    for i in range(200):
+        rows += [(2 * i, "the wing thing is what " * 4 + prose(30, i), "aa"), (2 * i + 1, opening + "schung keit zu ich " * 400, "bb")]
+    learned = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert b"schung keit zu ich" in learned["bb"] and len(learned["bb"]) <= langid.SAMPLE * (langid.PART + 1)
+    assert langid.Coder(learned)("ich zu keit schung ich schung " * 20)[0] == "bb"
+
+
 def test_segmentation():
     x = lattice.Lattice(PIECES, 4)
     for s in ("▁hello", "▁▁world", "▁日x", "aaaa"):
