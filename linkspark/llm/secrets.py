@@ -103,7 +103,8 @@ def scan(docs: DataFrame, model: tuple[list[float], float], id_col: str = "doc_i
     rows = rows.withColumns({f"{k}_p": places(k) for k in KINDS})
     rows = rows.withColumn("assign_p", F.filter("assign_p", lambda x: F.element_at("assign_v", x["i"]) >= 6))
     rows = rows.withColumn("base", F.array_sort(F.concat("assign_p", "access_p", "hex_p")))
-    ratio = F.array(*(F.lit(float(v)) for v in model[0]))
+    # one constant that Spark folds: an array of literals would be thousands of nodes of the driver's plan, at every use
+    ratio = F.split(F.lit(",".join(map(repr, map(float, model[0])))), ",").cast("array<double>")
 
     def score(s):
         codes = F.concat(F.array(F.lit(0)), symbols(s))
