@@ -1,131 +1,166 @@
-"""Suffix-array dedup: sparse suffixes at minimisers, sorted and compared, and matches extended to whole passages."""
+"""Suffix-array dedup: sparse suffixes at minimisers, sorted, compared with their neighbours, and extended to whole passages."""
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U, cut, mix, shingle_hashes, texts, word_hashes
+from .common import U, Words, cut, drop, mix, numbered, run_hashes, texts
 
 #: A window of WINDOW grams of GRAM words has one retained suffix.
-GRAM, WINDOW = 4, 20
-#: Bits of the filter of repeated suffixes (32 MB on the driver and each worker, whatever the input), and of its blocks.
-FILTER_BITS, BLOCK_BITS = 28, 15
-WORD = re.compile(r"\S+").finditer
-
-
-class Suffixes:
-    """The words of a text, its retained suffixes, and for every window of `least` words the suffix it is found by."""
-
-    def __init__(self, text: str, least: int):
-        words = text.split()
-        self.n, self.at = len(words), np.zeros(0, np.int64)
-        self.h = self.keys = np.zeros(0, np.uint64)
-        if self.n < least:
-            return
-        self.h = word_hashes([w.encode("utf-8", "surrogatepass") for w in words])
-        grams = shingle_hashes(self.h, GRAM)
-        starts = self.n - least + 1
-        view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[:starts]
-        self.at = view.argmin(axis=1) + np.arange(starts)  # ties: the leftmost
-        # A suffix at p is sorted by its first least - WINDOW + 1 words, which any window that is found by it holds.
-        head = self.running(least - WINDOW + 1)
-        self.p = np.unique(self.at)
-        self.keys = head[self.p]
-        self.starts = starts
-
-    def running(self, size: int) -> np.ndarray:
-        """A hash of every run of `size` words, from shorter runs' by doubling."""
-        out, have, done, left = None, self.h, 0, size
-        width = 1
-        while left:
-            if left & 1:
-                out = have.copy() if out is None else mix(out[: len(self.h) - done - width + 1] * U(0x9E3779B97F4A7C15) + have[done : done + len(self.h) - done - width + 1])
-                done += width
-            left >>= 1
-            if left:
-                n = len(self.h) - 2 * width + 1
-                have = mix(have[:n] * U(0xD1342543DE82EF95) + have[width : width + n] + U(width))
-                width *= 2
-        return out
-
-
-def repeated_heads(docs: DataFrame, least: int) -> DataFrame:
-    """key of the suffix heads that more than one retained suffix begins with: neighbours in sorted order that agree."""
+GRAM, WINDOW = 4, 30
+#: Bytes of text whose words are handled at once, and class representatives (80 bytes each) that are broadcast at most.
+PART, FEW = 4 << 20, 100_000
+#: Where an occurrence stands: rows without an id come last, rows that repeat an id by their place in the files.
+PLACE = ["no_id", "doc_id", "file", "nth", "span"]
+ROW = "head long, ctx long, no_id boolean, doc_id long, file long, nth long, span long"
 
-    def run(batches):
-        for b in batches:
-            keys = [Suffixes(t, least).keys for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64))], ["key"])
 
-    return docs.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+def spread(least: int) -> tuple[int, int]:
+    """Words of a gram, and grams of a window, for passages of `least` words."""
+    gram = min(GRAM, least)
+    return gram, min(WINDOW, least - gram + 1)
 
 
-def key_filter(keys: DataFrame) -> bytes:
-    """A bit for each hash of a key: of fixed size, so that it can always be sent; a false hit costs a row, never a result."""
-    bit = F.pmod(F.col("key"), F.lit(1 << FILTER_BITS))
-    block = keys.select(F.shiftright(bit, BLOCK_BITS).cast("int").alias("block"), F.pmod(bit, F.lit(1 << BLOCK_BITS)).cast("int").alias("place")).groupBy("block").agg(F.collect_set("place").alias("places"))
+def retained(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """p, low, high: the retained suffixes' first words, and the first and last start of the windows that they stand for.
+
+    Every window of `least` words within a text retains the suffix at its least hashed gram, of equal ones the first.
+    Those of consecutive windows never go back, so a suffix stands for a run of windows.
+    """
+    gram, window = spread(least)
+    none = np.zeros(0, np.int64)
+    if w.n < least:
+        return none, none, none
+    grams = run_hashes(w.sums(1), 1, np.arange(w.n - gram + 1), gram)
+    least_of = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    held, width = least_of, 1
+    while 2 * width <= window:
+        held, width = np.minimum(held[:-width], held[width:]), 2 * width
+    if rest := window - width:
+        held = np.minimum(held[:-rest], held[rest:])
+    starts = np.flatnonzero(w.ends_of()[: w.n - least + 1] - np.arange(w.n - least + 1) >= least)
+    if not len(starts):
+        return none, none, none
+    at = (held[starts] & U(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    return at[first], starts[first], starts[last]
+
+
+def suffixes(docs: DataFrame, least: int) -> DataFrame:
+    """ROW for every retained suffix of docs (file, nth, doc_id, text).
+
+    head is the hash of the first words that each of its windows holds, ctx that of the text of all its windows, white
+    space included, and span the place of that text in code points, start * 2**32 + end.
+    """
+    gram, window = spread(least)
+    size = least - window + 1
 
     def run(batches):
         for b in batches:
-            out = []
-            for places in b.column("places").to_pylist():
-                x = np.zeros(1 << BLOCK_BITS, np.uint8)
-                x[places] = 1
-                out.append(np.packbits(x).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(out, pa.binary())], ["block", "bits"])
-
-    whole = np.zeros((1 << FILTER_BITS - BLOCK_BITS, 1 << BLOCK_BITS - 3), np.uint8)
-    for r in block.mapInArrow(run, "block int, bits binary").toLocalIterator():
-        whole[r["block"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return whole.tobytes()
+            for at, w in Words.parts(b.column("text"), PART):
+                p, low, high = retained(w, least)
+                row = at + w.text_of[low]
+                take = lambda c: b.column(c).take(pa.array(row))
+                ids = take("doc_id")
+                spans = w.spans(low, high + least - 1)
+                ctx = mix(run_hashes(w.sums(2), 2, low, high + least - 1 - low) + w.h[high + least - 1] * U(0xD1342543DE82EF95) + (high - low).astype(np.uint64))
+                cols = [run_hashes(w.sums(1), 1, p, size).view(np.int64), ctx.view(np.int64), ids.is_null(), ids, take("file"), take("nth"), spans]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], [*ROW.replace(",", "").split()[::2]])
+
+    return docs.mapInArrow(run, ROW)
+
+
+def neighbours(rows: DataFrame, keys: list[str], inner: list[str]) -> DataFrame:
+    """rows in the order of keys, inner and PLACE, with `before` and `after`: whether the row before or behind has equal
+    keys, and `again`: whether that before has equal keys and inner. Rows without an equal neighbour are left out where
+    inner is given.
+
+    Ranges of the sorted rows stream through tasks, so that a key which very many rows share is spread over many. What
+    the first row of a range follows is settled by the last row of the range before it: two rows a range come to the driver.
+    """
+    order = [*keys, *inner, *PLACE]
+    kinds = T.StructType([*rows.schema.fields, *(T.StructField(c, T.BooleanType()) for c in ("before", "after", "again")), T.StructField("edge", T.IntegerType()), T.StructField("range", T.IntegerType())])
+    names, few = rows.columns, bool(inner)
 
+    def run(batches):
+        at, held, first = TaskContext.get().partitionId(), None, True
 
-def passages(docs: DataFrame, least: int, repeated: bytes) -> DataFrame:
-    """fp, doc_id, span: every window of `least` words whose retained suffix has a repeated head.
+        def flagged(t: pa.Table, before, after, again, edge):
+            keep = before | after | (edge > 0) if few else np.ones(len(before), bool)
+            cols = [t.column(c).combine_chunks() for c in names] + [pa.array(x) for x in (before, after, again, edge.astype(np.int32), np.full(len(before), at, np.int32))]
+            out = pa.Table.from_arrays(cols, names=kinds.names)
+            return (out if keep.all() else out.filter(pa.array(keep))).to_batches()
 
-    That is the match at the suffix, extended left to the window's start and right to its end. span is its place in
-    code points, start * 2**32 + end.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held[0], pa.Table.from_batches([b])])
+            same = lambda cols: np.logical_and.reduce([(x := t.column(c).to_numpy())[1:] == x[:-1] for c in cols])
+            equal, whole = same(keys), same([*keys, *inner])
+            n = t.num_rows
+            before, again = np.zeros(n, bool), np.zeros(n, bool)
+            before[1:], again[1:] = equal, whole
+            if held is not None:
+                before[0], again[0] = held[1], held[2]
+            edge = np.zeros(n, np.int64)
+            edge[0] = int(first)
+            if n > 1:
+                yield from flagged(t.slice(0, n - 1), before[:-1], equal, again[:-1], edge[:-1])
+                first = False
+            held = t.slice(n - 1), before[-1], again[-1]
+        if held is not None:
+            one = lambda x: np.array([x])
+            yield from flagged(held[0], one(held[1]), one(False), one(held[2]), one(2 + int(first)))
+
+    out = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, kinds))
+    edges = out.where("edge > 0").select("range", "edge", *keys, *inner).collect()
+    tops = sorted((e for e in edges if e["edge"] & 1), key=lambda e: e["range"])
+    ends = {e["range"]: e for e in edges if e["edge"] & 2}
+    follows, leads, repeats = [], [], []
+    for above, e in zip(tops, tops[1:], strict=False):
+        end = ends[above["range"]]
+        if all(end[c] == e[c] for c in keys):
+            follows.append(e["range"])
+            leads.append(end["range"])
+            if all(end[c] == e[c] for c in inner):
+                repeats.append(e["range"])
+    if follows:
+        of = lambda bit, ranges: (F.col("edge").bitwiseAND(F.lit(bit)) > 0) & F.col("range").isin(ranges)
+        out_path, out = out, out.withColumns({"before": F.col("before") | of(1, follows), "after": F.col("after") | of(2, leads), "again": F.col("again") | (of(1, repeats) if repeats else F.lit(False))})
+        out._table_path = out_path._table_path
+    found = (out.where("before or after") if few else out).drop("edge", "range")
+    found._table_path = out._table_path
+    return found
+
+
+def windows(classes: DataFrame, least: int) -> DataFrame:
+    """w1, w2, head, ctx, several, part and PLACE for each window of `least` words of the classes' texts (column piece).
+
+    w1 and w2 are hashes of its words, part its place within the piece and span that in the whole text, as above."""
+    kinds = "w1 long, w2 long, head long, ctx long, several boolean, part long, no_id boolean, doc_id long, file long, nth long, span long"
 
     def run(batches):
-        bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            fps, ids, spans = [], [], []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = Suffixes(t, least)
-                if not len(s.keys):
-                    continue
-                k = s.keys & U((1 << FILTER_BITS) - 1)
-                hit = (bits[k >> U(3)] >> (U(7) - (k & U(7))).astype(np.uint8)) & 1
-                a = np.flatnonzero(hit[np.searchsorted(s.p, s.at)])
-                if not len(a):
-                    continue
-                at = np.array([m.span() for m in WORD(t)], np.int64)
-                if len(at) != s.n:
-                    at = python_spans(t)
-                fps.append(s.running(least)[a])
-                ids.append(np.full(len(a), -1 if i is None else i, np.int64))
-                spans.append((at[a, 0] << 32) | at[a + least - 1, 1])
-            join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)]).astype(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(join(fps, np.uint64).view(np.int64)), pa.array(join(ids, np.int64)), pa.array(join(spans, np.int64))], ["fp", "doc_id", "span"])
-
-    return docs.mapInArrow(run, "fp long, doc_id long, span long")
-
-
-def python_spans(text: str) -> np.ndarray:
-    """Places of the words that str.split finds, for texts with white space that a pattern's \\s does not count."""
-    out, at = [], 0
-    for w in text.split():
-        at = text.index(w, at)
-        out.append((at, at + len(w)))
-        at += len(w)
-    return np.array(out, np.int64)
+            for at, w in Words.parts(b.column("piece"), PART):
+                starts = np.flatnonzero(w.ends_of() - np.arange(w.n) >= least)
+                row = pa.array(at + w.text_of[starts])
+                col = {c: b.column(c).take(row) for c in ("head", "ctx", "several", "no_id", "doc_id", "file", "nth", "span")}
+                part = w.spans(starts, starts + least - 1)
+                start = col["span"].to_numpy(zero_copy_only=False) >> 32
+                made = {
+                    "w1": run_hashes(w.sums(1), 1, starts, least).view(np.int64), "w2": run_hashes(w.sums(3), 3, starts, least).view(np.int64), "part": part, "span": part + (start << 32) + start,
+                }
+                cols = col | {k: pa.array(v) for k, v in made.items()}
+                names = kinds.replace(",", "").split()[::2]
+                yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
+
+    return classes.mapInArrow(run, kinds)
 
 
 def merged(spans: list[int]) -> list[tuple[int, int]]:
@@ -140,37 +175,76 @@ def merged(spans: list[int]) -> list[tuple[int, int]]:
 
 
 PAIRS = "array<struct<start:int,end:int>>"
-FOUND = f"doc_id long, repeats {PAIRS}, cuts {PAIRS}"
+FOUND = f"file long, nth long, doc_id long, repeats {PAIRS}, cuts {PAIRS}"
 
 
-def repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, repeats, cuts of every document that holds a passage of `least` or more words found more than once.
+def located(docs: DataFrame, least: int) -> DataFrame:
+    """FOUND for the rows of docs (file, nth, doc_id, text) that hold a repeated passage, as a table.
 
-    Any two equal passages of `least` words have the same minimiser, so the suffix retained there has an equal head in
-    both: sorting heads and comparing neighbours (an aggregation by the head, which Spark sorts or hashes with partial
-    counts per task) finds every candidate. Matches are extended left and right to all windows of `least` words that
-    hold them, and compared again; a longer passage is the union of its windows. repeats are all such passages, cuts
-    those but the first of all (least doc_id, then place). No pair of occurrences is ever made: a passage that a third
-    of all documents share is one key with partial counts, and its join is one that Spark can split.
-
-    Null, empty and shorter texts have none; rows with a null id, and repeated rows, are searched like others, under
-    the id -1 and their id; an empty table gives none.
+    Suffixes are sorted by their heads and then by the whole text of their windows. Those with equal texts are one
+    class, with its first occurrence as its representative. A head with one class: all windows of its occurrences are
+    repeated, or there is one occurrence and none is. A head with several classes: what they have in common depends on
+    how far each match extends left and right, so the representatives' texts are read, and their windows sorted and
+    compared in the same way; an occurrence repeats what its class does.
     """
-    base = texts(docs, id_col, text_col)
-    bits = key_filter(repeated_heads(base, least))
-    windows = cut(passages(base, least, bits))
-    first = cut(windows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "span")).alias("first")).where("n > 1").select(F.col("fp").alias("key"), F.col("first.doc_id").alias("first_id"), F.col("first.span").alias("first_span")))
-    held = windows.join(first, F.col("fp") == F.col("key")).select("doc_id", "span", ((F.col("doc_id") == F.col("first_id")) & (F.col("span") == F.col("first_span"))).alias("first"))
+    rows = cut(suffixes(docs, least))
+    found = neighbours(rows, ["head"], ["ctx"])
+    drop(rows)
+    firsts = found.where("not again")
+    several = found.where("again").select("head", "ctx").distinct().withColumn("several", F.lit(True))
+    mixed = cut(firsts.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head"))
+    classes = firsts.select("head", "ctx", *PLACE).join(mixed, "head", "left_semi").join(several, ["head", "ctx"], "left")
+    classes = cut(classes.withColumn("several", F.coalesce("several", F.lit(False))))
+    start = F.shiftright("span", 32)
+    size = F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)) - start
+    reps = F.broadcast(classes) if classes.count() <= FEW else classes
+    piece = F.substring("text", start + 1, size).alias("piece")
+    held = windows(docs.select("file", "nth", "text").join(reps, ["file", "nth"]).select(*classes.columns, piece), least)
+    near = neighbours(held, ["w1", "w2"], [])
+    parts = near.where("before or after or several").groupBy("head", "ctx").agg(F.collect_list(F.struct("part", F.col("before").alias("cut"))).alias("parts"))
+    known = cut(classes.select("head", "ctx").join(parts, ["head", "ctx"], "left").withColumn("mixed", F.lit(True)))
+    drop(classes, mixed, near)
+    whole = F.array(F.struct(F.col("span"), F.col("again").alias("cut")))
+    moved = F.transform("parts", lambda x: F.struct((x["part"] + (start * F.lit(1 << 32)) + start).alias("span"), (F.col("again") | x["cut"]).alias("cut")))
+    every = found.join(known, ["head", "ctx"], "left").select("file", "nth", "doc_id", F.when(F.col("mixed"), moved).otherwise(whole).alias("spans")).where(F.size("spans") > 0)
+    lists = every.groupBy("file", "nth").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.collect_list("spans")).alias("spans"))
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         pairs = lambda x: [{"start": a, "end": b} for a, b in merged(x)]
         for b in batches:
-            every, others = b.column("every").to_pylist(), b.column("others").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(pairs, every), kind), pa.array(map(pairs, others), kind)], ["doc_id", "repeats", "cuts"])
+            spans = b.column("spans").to_pylist()
+            repeats = pa.array((pairs({y["span"] for y in x}) for x in spans), kind)
+            cuts = pa.array((pairs({y["span"] for y in x if y["cut"]}) for x in spans), kind)
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("nth"), b.column("doc_id"), repeats, cuts], ["file", "nth", "doc_id", "repeats", "cuts"])
+
+    out = cut(lists.mapInArrow(run, FOUND))
+    drop(found, known)
+    return out
+
+
+#: Names of the keys of rows beside the columns of docs.
+KEYS = ("__repeats_file", "__repeats_nth")
+
+
+def keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return texts(rows, id_col, text_col, *KEYS).withColumnsRenamed(dict(zip(KEYS, ("file", "nth"), strict=True)))
 
-    lists = held.groupBy("doc_id").agg(F.collect_set("span").alias("every"), F.collect_set(F.when(~F.col("first"), F.col("span"))).alias("others"))
-    return lists.mapInArrow(run, FOUND)
+
+def repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, repeats, cuts of every row that holds a passage of `least` or more words found more than once.
+
+    Any two equal passages of `least` words have the same minimiser, so the suffixes retained there have equal heads and
+    meet as neighbours in sorted order; matches are then extended to all windows that stand on them (see located), and a
+    longer passage is the union of its windows. repeats are all such passages, cuts those but the first of all (least
+    doc_id, then the row's place in its files, then its own). No pair of occurrences is ever made, and rows of one key
+    are spread over ranges: a passage that a third of all documents share is no task's list. Heads and texts of windows
+    are compared by two independent 64-bit hashes, as are the windows' words.
+
+    Rows are told apart by their file and place there, so rows that repeat an id or have none are rows of their own; of
+    repeated rows the first keeps its passages. Null, empty and shorter texts have none; an empty table gives none.
+    """
+    return located(keyed(numbered(docs, *KEYS), id_col, text_col), least).drop("file", "nth")
 
 
 def kept_text(text, cuts):
@@ -184,7 +258,8 @@ def kept_text(text, cuts):
 
 def without_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut from the text, but for the first of each; other columns stay as they are."""
-    cuts = repeats(docs, least, id_col, text_col).where(F.size("cuts") > 0).select(F.col("doc_id").alias("__cut_id"), F.col("cuts").alias("__cuts"))
-    cuts = cut(cuts)
-    joined = docs.join(cuts, F.col(id_col) == F.col("__cut_id"), "left")
-    return joined.withColumn(text_col, kept_text(F.col(text_col), F.col("__cuts"))).drop("__cut_id", "__cuts")
+    rows = numbered(docs, *KEYS)
+    cuts = located(keyed(rows, id_col, text_col), least).where(F.size("cuts") > 0)
+    cuts = cuts.select(F.col("file").alias(KEYS[0]), F.col("nth").alias(KEYS[1]), F.col("cuts").alias("__repeats_cuts"))
+    joined = rows.join(cuts, list(KEYS), "left")
+    return joined.withColumn(text_col, kept_text(F.col(text_col), F.col("__repeats_cuts"))).select(docs.columns)
