@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, cut, drop, mix, shingle_hashes, texts, word_hashes
+from .common import U, cut, drop, mix, numbered, shingle_hashes, texts, word_hashes
 from .components import components
 
 #: 32 bands of 5 minima: a link at similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Ids up to this number (8 bytes each) are broadcast to pick their documents; beyond it, documents are shuffled.
-FEW_IDS = 1_000_000
+#: Classes up to this number (24 bytes each) are broadcast to pick their documents; beyond it, documents are shuffled.
+FEW_IDS = 400_000
 #: Hashed counters of the sets that hold a shingle: 8 MB on the driver and each executor. They only order shingles.
 COUNTERS = 1 << 21
-TABLE = "doc_id long, set_key binary, n_shingles long, signature binary"
+TABLE = "doc_id long, file long, nth long, set_key binary, n_shingles long, signature binary"
+#: Names of the keys of rows beside the columns of docs.
+KEYS = ("__near_file", "__near_nth")
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -40,7 +42,7 @@ def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, set_key (a digest of the whole set; null for an empty one), n_shingles, signature of every text."""
+    """doc_id, file, nth, set_key (a digest of the whole set; null for an empty one), n_shingles, signature of every text."""
 
     def run(batches):
         a, b = family(bands * rows)
@@ -56,7 +58,7 @@ def signed(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) ->
                     seen[d] = (xxhash.xxh3_128_digest(s.tobytes()), len(s), minima(s, a, b).tobytes()) if len(s) else (None, 0, None)
                 for x, y in zip((keys, sizes, signatures), seen[d], strict=True):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "set_key", "n_shingles", "signature"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "file", "nth")), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())], TABLE.replace(",", "").split()[::2])
 
     return docs.mapInArrow(run, TABLE)
 
@@ -72,31 +74,24 @@ def band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
                 part = batch.slice(at, 4096)
                 sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, bands, rows)
                 keys = mix(mix((mix(sig.astype(np.uint64) + U(1)) * powers[None, None, :]).sum(axis=2, dtype=np.uint64)) + salt[None, :])
-                ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), bands)
+                ids = np.repeat(part.column("rid").to_numpy(zero_copy_only=False).astype(np.int64), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "rid"])
 
-    return reps.select("doc_id", "signature").mapInArrow(run, "key long, rid long")
+    return reps.select("rid", "signature").mapInArrow(run, "key long, rid long")
 
 
-def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (rid); a counted, bounded number of ids is broadcast."""
-    ids = ids.withColumnRenamed("rid", "doc_id")
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """rid, shingles: the full shingle sets of the representatives in ids."""
+def sets_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """rid, shingles: the full shingle sets of the classes in reps (rid, file, nth), read from their first rows; a counted,
+    bounded number of classes is broadcast."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(t, words) for t in part.column("text").to_pylist()]
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "set_key", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["rid", "shingles"])
 
-    made = chosen(docs, ids).mapInArrow(run, "rid long, set_key binary, shingles binary")
-    return made.join(wanted, ["rid", "set_key"], "left_semi").dropDuplicates(["rid"]).select("rid", "shingles")
+    few = F.broadcast(reps) if reps.count() <= FEW_IDS else reps
+    return docs.join(few, ["file", "nth"]).select("rid", "text").mapInArrow(run, "rid long, shingles binary")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -194,11 +189,10 @@ class Verifier:
     """Confirms pairs, first by their signatures, then on their full sets."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, members: DataFrame, words: int, percent: int, size: int):
-        self.percent, self.size, ids = percent, size, cut(members.select("rid").distinct())
-        at = lambda d, *c: d.select(F.col("doc_id").alias("rid"), *c)
-        wanted = at(reps, "set_key")
-        self.signatures = cut(at(reps, "n_shingles", "signature").join(ids, "rid", "left_semi"))
-        self.docs, self.ids, self.words, self.wanted, self.sets = docs, ids, words, wanted, None
+        self.percent, self.size, ids = percent, size, members.select("rid").distinct()
+        self.reps = cut(reps.join(ids, "rid", "left_semi"))
+        self.signatures = self.reps.select("rid", "n_shingles", "signature")
+        self.docs, self.words, self.sets = docs, words, None
 
     def both(self, pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
         for side in ("a", "b"):
@@ -214,31 +208,23 @@ class Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         likely = cut(self.likely(pairs))
         if self.sets is None:
-            self.sets = cut(sets_of(self.docs, self.ids, self.words, self.wanted))
+            self.sets = cut(sets_of(self.docs, self.reps.select("rid", "file", "nth"), self.words))
         x = self.both(likely, self.sets, "shingles").withColumn("both", common("shingles_a", "shingles_b"))
         out = cut(x.where(100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
         drop(likely)
         return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
-
-    Texts with equal shingle sets are one class, linked through its smallest doc_id; from there on only classes count.
-    Classes that share a band are candidates. Within a band's bucket not all pairs are made: all members are compared
-    with one hub, picked by a hash, and then, in buckets that still hold several components, with the member whose
-    buckets are the largest, which of near copies is the one most like the others. Members of buckets which even then
-    hold several components meet at the rare shingles of their full sets (see across), where any link between two
-    components is found. A pair within one component adds nothing, so no link between components is lost, whatever a
-    bucket's size. Pairs are verified on signatures and then on full sets.
+def grouped(base: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, file, nth, n_shingles and first for every row of base (doc_id, file, nth, text).
 
-    Null and empty texts, and texts of white space, have an empty set and are linked with nothing; rows with a null id
-    get a null component and kept null; rows that repeat an id are classed by their own text; an empty table gives none.
+    first (no_id, doc_id, file, nth) is the first row of its component: those without an id come last, those that repeat
+    an id by their place in the files. Nodes of the components are classes of equal sets, numbered once in a table.
     """
-    base = texts(docs, id_col, text_col)
     table = cut(signed(base, words, bands, rows))
-    classes = cut(table.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = cut(table.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "nth")
+    classes = table.where("set_key is not null").groupBy("set_key").agg(F.min(own).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    reps = cut(classes.select("set_key", "own", "own.file", "own.nth", "n_shingles", "signature", F.monotonically_increasing_id().alias("rid")))
     keys = band_keys(reps, bands, rows)
     rank = lambda t: F.struct(F.xxhash64(F.lit(t), "rid").alias("rank"), F.col("rid"))
     hubs = cut(keys.groupBy("key").agg(F.min(rank(1)).getField("rid").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
@@ -285,6 +271,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             drop(found)
             found = components(links)
         drop(third)
-    drop(hubs, members, pairs, second, mixed, links, reps, verify.ids, verify.signatures, verify.sets)
-    out = table.select("doc_id", "set_key", "n_shingles").join(classes, "set_key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    drop(hubs, members, pairs, second, mixed, links, verify.reps, verify.sets)
+    classes = reps.select("set_key", "own", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    classes = cut(classes)
+    firsts = classes.groupBy("component").agg(F.min("own").alias("first"))
+    classes, whole = cut(classes.select("set_key", "component").join(firsts, "component").select("set_key", "first")), classes
+    drop(reps, found, whole)
+    return table.select("doc_id", "file", "nth", "set_key", "n_shingles").join(classes, "set_key", "left").drop("set_key")
+
+
+def keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return texts(rows, id_col, text_col, *KEYS).withColumnsRenamed(dict(zip(KEYS, ("file", "nth"), strict=True)))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs.
+
+    Texts with equal shingle sets are one class; from there on only classes count. Classes that share a band are
+    candidates. Within a band's bucket not all pairs are made: all members are compared
+    with one hub, picked by a hash, and then, in buckets that still hold several components, with the member whose
+    buckets are the largest, which of near copies is the one most like the others. Members of buckets which even then
+    hold several components meet at the rare shingles of their full sets (see across), where any link between two
+    components is found. A pair within one component adds nothing, so no link between components is lost, whatever a
+    bucket's size. Pairs are verified on signatures and then on full sets.
+
+    component_id is the smallest id of a component's rows. Null and empty texts, and texts of white space, have an empty
+    set and are linked with nothing. Rows that repeat an id are classed by their own text. Rows with a null id are linked
+    by their text, and have a null component where no row in it has an id; kept is doc_id = component_id, nulls being
+    equal. An empty table gives none.
+    """
+    found = grouped(keyed(numbered(docs, *KEYS), id_col, text_col), words, percent, bands, rows)
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, the first by id and then by place in the files; rows with nothing in
+    their set all stay, as do all columns."""
+    numbers = numbered(docs, *KEYS)
+    found = grouped(keyed(numbers, id_col, text_col), words, percent, BANDS, ROWS)
+    gone = found.where("first is not null and not (file <=> first.file and nth <=> first.nth)")
+    return numbers.join(cut(gone.select(F.col("file").alias(KEYS[0]), F.col("nth").alias(KEYS[1]))), list(KEYS), "left_anti").select(docs.columns)
