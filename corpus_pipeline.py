@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import langid, minhash, packing, queries, secrets, suffix
-from linkspark.llm.common import cut, fresh_path
+from linkspark.llm.common import fresh_path
 
 MODEL = "word_bpe_49k.json"
 
@@ -21,9 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near duplicates stays; a row that repeats an id goes too."""
-    gone = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(cut(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each group of near duplicates stays, the one of the smallest doc_id: rows count, not ids."""
+    return minhash.without_near_duplicates(docs, words=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
