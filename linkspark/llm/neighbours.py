@@ -5,25 +5,29 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import cut
 
 #: Vectors that the partitions and the classifier are fitted on, at most; neighbours of each in the graph.
 SAMPLE, GRAPH = 8_192, 10
-#: Rows of a partition in one block of candidates, and queries in one block.
-CANDIDATES, QUERIES = 8_192, 1_024
-#: Recall that the number of probed partitions is chosen for, on the sample.
-AIM = 0.97
+#: Parts at least (of tables with four times as many vectors) and at most, and vectors of one between the two.
+PARTS, MOST, EACH = 16, 128, 2_000
+#: Queries that are ranked together, and candidates that one task streams by them.
+QUERIES, SLICE = 512, 131_072
+#: Recall that the share of probability to probe is chosen for, on the sample; pairs of block and part broadcast at most.
+AIM, FEW = 0.95, 100_000
 
 
 def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v: vectors of the most common length, of finite components, not all zero."""
-    v = F.col(vector_col).cast("array<double>")
+    kind = rows.schema[vector_col].dataType
+    wide = not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType))  # floats travel as they are
+    v = F.col(vector_col).cast("array<double>" if wide else "array<float>")
     x = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     x = x.where(~F.exists("v", bad) & F.exists("v", lambda c: c != 0))
@@ -119,11 +123,21 @@ class Router:
     def ranked(self, x: np.ndarray, count: int) -> np.ndarray:
         return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :count]
 
-
-def learn(x: np.ndarray, parts: int, aim: float = AIM, k: int = 20) -> tuple[Router, int]:
-    """The router, and the number of parts to probe so that `aim` of the sample's true neighbours lie in them."""
-    if len(x) < 4 * parts or parts < 2:
-        return Router(x[:1], np.ones((1, 1)), epochs=0), 1
+    def probed(self, x: np.ndarray, share: float) -> np.ndarray:
+        """For each vector and part, whether it is asked: the most probable parts until their probabilities reach `share`."""
+        p = self.probabilities(x)
+        order = np.argsort(-p, axis=1, kind="stable")
+        sorted_p = np.take_along_axis(p, order, axis=1)
+        out = np.zeros(p.shape, bool)
+        np.put_along_axis(out, order, np.cumsum(sorted_p, axis=1) - sorted_p < share, axis=1)
+        return out
+
+
+def learn(x: np.ndarray, parts: int, aim: float = AIM, k: int = 20) -> tuple[Router, float]:
+    """The router, and the share of probability that a query must probe so that `aim` of the sample's true neighbours lie there."""
+    parts = max(1, min(parts, len(x) // 4))
+    if parts < 2:
+        return Router(x[:1], np.ones((1, 1)), epochs=0), 1.0
     near = graph(x, min(GRAPH, len(x) - 1))
     part = balanced(x, near, parts)
     soft = np.zeros((len(x), parts))
@@ -135,98 +149,135 @@ def learn(x: np.ndarray, parts: int, aim: float = AIM, k: int = 20) -> tuple[Rou
     asked = np.random.default_rng(3).permutation(len(x))[:1000]
     s = x[asked] @ x.T
     s[np.arange(len(asked)), asked] = -np.inf
-    true = np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k]
-    order = router.ranked(x[asked], parts)
-    rank = np.argsort(order, axis=1)
-    place = np.take_along_axis(rank, home[true], axis=1)
-    for probes in range(1, parts):
-        if (place < probes).mean() >= aim:
-            return router, probes
-    return router, parts
-
-
-def best_of(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of each query's k best candidates but itself, ties to the smaller id.
-
-    A fast product finds who can be among them; those scores are taken again in one fixed order of summation.
-    """
-    out = []
-    s = q @ c.T
-    s[qid[:, None] == cid[None, :]] = -np.inf
-    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-    span = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-    for i in range(len(q)):
-        at = np.flatnonzero((s[i] >= least[i] - span[i]) & (s[i] > -np.inf))
-        exact = (q[i][None, :] * c[at]).sum(axis=1)
-        first = np.lexsort((cid[at], -exact))[:k]
-        out.append((np.full(len(first), qid[i]), cid[at][first], exact[first]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def search(rows: DataFrame, k: int = 20, every: int = 20, parts: int | None = None, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    true = home[np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k]]
+    for share in np.linspace(0.05, 1.0, 96).tolist():
+        if np.take_along_axis(router.probed(x[asked], share), true, axis=1).mean() >= aim:
+            return router, share
+    return router, 2.0
+
+
+class Nearest:
+    """The k best candidates found so far of each query of a block, by exact scores, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
+        self.ids, self.v, self.k = ids, v, k
+        self.norms = np.sqrt((v * v).sum(axis=1))
+        self.row, self.found, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(ids), -np.inf)
+
+    def see(self, rows: np.ndarray, cid: np.ndarray, c: np.ndarray) -> None:
+        """Candidates for the queries in rows. A fast product finds who can be among the best so far, with room for its
+        rounding; those scores are taken again in one fixed order of summation."""
+        reach = 8 * c.shape[1] * np.finfo(float).eps * float(np.sqrt((c * c).sum(axis=1).max()))
+        for at in range(0, len(rows), 64):
+            q = rows[at : at + 64]
+            s = self.v[q] @ c.T
+            s[self.ids[q][:, None] == cid[None, :]] = -np.inf
+            least = np.partition(s, -self.k, axis=1)[:, -self.k] if s.shape[1] > self.k else np.full(len(q), -np.inf)
+            i, j = np.nonzero((s >= (np.maximum(least, self.least[q]) - reach * self.norms[q])[:, None]) & (s > -np.inf))
+            if len(i):
+                self.add(q[i], cid[j], (self.v[q[i]] * c[j]).sum(axis=1))
+
+    def add(self, row, found, score) -> None:
+        touched = np.zeros(len(self.ids), bool)
+        touched[row] = True
+        old = touched[self.row]
+        row, found, score = (np.concatenate([x[old], y]) for x, y in ((self.row, row), (self.found, found), (self.score, score)))
+        order = np.lexsort((found, -score, row))
+        row, found, score = row[order], found[order], score[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        nth = np.arange(len(row)) - np.repeat(first, np.diff([*first, len(row)]))
+        full = nth == self.k - 1
+        self.least[row[full]] = score[full]
+        keep = nth < self.k
+        self.row, self.found, self.score = (np.concatenate([x[~old], y[keep]]) for x, y in ((self.row, row), (self.found, found), (self.score, score)))
+
+    def table(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.found), pa.array(self.score)], ["query_id", "vec_id", "score"])
+
+
+def search(rows: DataFrame, k: int = 20, every: int = 20, parts: int | None = None, share: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by `every`.
 
     At most SAMPLE vectors, picked by a hash of their id, are fitted: their graph of nearest neighbours is cut into
     balanced parts, and a linear classifier learns the parts of each vector and its neighbours. Every row is indexed
-    under its most probable part, every query asks its most probable ones (as many as find AIM of the sample's
-    neighbours, if not given), and all candidates there are ranked by the exact inner product. Parts of any size are
-    split into blocks of rows, and queries likewise, so that a part that holds most rows is many tasks; only each
-    block's k best go on. Null ids, vectors that are null, zero, hold a null or non-finite component or have another
-    length than most take no part; repeated ids are separate candidates; fewer than k candidates give fewer rows.
+    under its most probable part. Every query asks its most probable parts until they hold `share` of the probability
+    (if not given, the least that finds AIM of the sample's neighbours).
+
+    Queries of like parts form blocks of about QUERIES. A block's task streams the candidates of all parts that any of
+    its queries asks, at most about SLICE of them, each query seeing its own parts only; the k-th best score found so
+    far bounds what can still count, and only the k best of a block and slice go on. So no task holds a part, and what
+    goes on grows with the queries. Null ids, vectors that are null, zero, hold a null or non-finite component or have
+    another length than most take no part; repeated ids are separate candidates and queries of their own; fewer than k
+    candidates give fewer rows.
     """
     spark = rows.sparkSession
     x = cut(valid(rows, id_col, vector_col))
     n = x.count()
-    share = max(1, min(1_000_000, SAMPLE * 1_000_000 // max(1, n)))
-    sample = x.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    m = matrix(sample["v"]).astype(float) if sample.num_rows else np.zeros((0, 1))
-    count = parts or max(1, min(128, n // 2_000))
-    router, asked = learn(m, count, k=k) if len(m) else (None, 1)
-    if router is None:
+    at_most = max(1, min(1_000_000, SAMPLE * 1_000_000 // max(1, n)))
+    sample = x.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < at_most).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    if not sample.num_rows:
+        sample = x.limit(1).select("v").toArrow()
+    if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = min(probes or asked, router.w.shape[1])
+    m = matrix(sample["v"]).astype(float)
+    router, found_share = learn(m, parts or max(PARTS, min(MOST, n // EACH)), k=k)
+    share = share or found_share
+    kind = x.schema["v"].dataType.simpleString()
 
     def home(batches):
         for b in batches:
-            part = router.ranked(matrix(b.column("v")), 1)[:, 0].astype(np.int32) if b.num_rows else np.zeros(0, np.int32)
+            part = router.ranked(matrix(b.column("v")).astype(float), 1)[:, 0].astype(np.int32) if b.num_rows else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(part, pa.int32())], ["vec_id", "v", "part"])
 
     def route(batches):
         for b in batches:
-            found = router.ranked(matrix(b.column("v")), asked).tolist() if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(found, pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
-
-    block = lambda size: F.pmod(F.xxhash64(F.lit(9), "vec_id"), size).cast("int")
-    index = cut(x.mapInArrow(home, "vec_id long, v array<double>, part int"))
-    queries = x.where(F.col("vec_id") % every == 0).mapInArrow(route, "vec_id long, v array<double>, parts array<int>")
-    queries = cut(queries.select("vec_id", "v", F.explode("parts").alias("part")))
-    sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).alias("c_blocks"))
-    wanted = queries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("q_blocks"))
-    blocks = F.broadcast(spark.createDataFrame([tuple(r) for r in sizes.join(wanted, "part").collect()] or [(-1, 1, 1)], "part int, c_blocks long, q_blocks long"))
-    several = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    c = index.join(blocks, "part").select("part", block(F.col("c_blocks")).alias("cb"), several("q_blocks").alias("qb"), F.lit(0).alias("side"), "vec_id", "v")
-    q = queries.join(blocks, "part").select("part", several("c_blocks").alias("cb"), block(F.col("q_blocks")).alias("qb"), F.lit(1).alias("side"), "vec_id", "v")
-
-    def rank(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy() == 1
-        ids, v = table["vec_id"].to_numpy(), matrix(table["v"])
-        kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if side.all() or not side.any():
-            return kinds.empty_table()
-        c_v, c_id, parts_out = v[~side], ids[~side], []
-        for at in range(0, int(side.sum()), 512):
-            parts_out.append(best_of(v[side][at : at + 512], ids[side][at : at + 512], c_v, c_id, k))
-        return pa.Table.from_arrays([pa.array(np.concatenate(y)) for y in zip(*parts_out, strict=True)], schema=kinds)
-
-    found = c.union(q).groupBy("part", "cb", "qb").applyInArrow(rank, "query_id long, vec_id long, score double")
+            v = matrix(b.column("v")).astype(float) if b.num_rows else None
+            asked = [np.flatnonzero(p).tolist() for p in router.probed(v, share)] if b.num_rows else []
+            first = router.ranked(v, 1)[:, 0] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(first, pa.int32()), pa.array(asked, pa.list_(pa.int32()))], ["vec_id", "v", "home", "asked"])
+
+    index = cut(x.mapInArrow(home, f"vec_id long, v {kind}, part int"))
+    queries = cut(x.where(F.col("vec_id") % every == 0).mapInArrow(route, f"vec_id long, v {kind}, home int, asked array<int>"))
+    counts = sorted((r["home"], r["n"]) for r in queries.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = np.cumsum([0, *(c for _, c in counts)]).tolist()
+    homes = F.broadcast(spark.createDataFrame([(h, c, a) for (h, c), a in zip(counts, before, strict=False)] or [(-1, 1, 0)], "home int, n long, before long"))
+    block = F.floor((F.col("before") + F.pmod(F.xxhash64(F.lit(9), "vec_id"), "n")) / QUERIES).cast("long").alias("block")
+    queries = queries.join(homes, "home").select(block, "vec_id", "v", "asked")
+    pairs = cut(queries.select("block", F.explode("asked").alias("part")).distinct())
+    pairs = F.broadcast(pairs) if pairs.count() <= FEW else pairs
+    slices = -(-n // SLICE)
+    c = index.join(pairs, "part").select("block", F.pmod(F.xxhash64(F.lit(4), "vec_id"), F.lit(slices)).cast("int").alias("slice"), "part", "vec_id", "v", F.lit(None).cast("array<int>").alias("asked"))
+    q = queries.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(-1).alias("part"), "vec_id", "v", "asked")
+    wide = router.w.shape[1]
+
+    def rank(batches):
+        now, asks, held = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "slice", "part")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+            for i, j in zip(edges, edges[1:], strict=False):
+                one, (block, piece, part) = b.slice(i, j - i), keys[i].tolist()
+                ids, v = one.column("vec_id").to_numpy(), matrix(one.column("v")).astype(float)
+                if part < 0:
+                    mine = np.zeros((len(ids), wide), bool)
+                    lists = one.column("asked")
+                    mine[np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+                    if now == (block, piece):  # the block's queries go on in another batch
+                        ids, v, mine = np.concatenate([held.ids, ids]), np.concatenate([held.v, v]), np.concatenate([asks, mine])
+                    elif held is not None:
+                        yield held.table()
+                    now, asks, held = (block, piece), mine, Nearest(ids, v, k)
+                elif now == (block, piece):
+                    rows = np.flatnonzero(asks[:, part])
+                    for at in range(0, len(ids), 2048):
+                        held.see(rows, ids[at : at + 2048], v[at : at + 2048])
+        if held is not None:
+            yield held.table()
+
+    dealt = c.union(q).repartition("block", "slice").sortWithinPartitions("block", "slice", "part")
+    found = dealt.mapInArrow(rank, "query_id long, vec_id long, score double")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def brute_force(ids: np.ndarray, v: np.ndarray, k: int = 20, every: int = 20) -> pd.DataFrame:
-    """What search would return if every query asked every part."""
-    at = ids % every == 0
-    q, i, s = best_of(v[at].astype(float), ids[at], v.astype(float), ids, k)
-    d = pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
-    d["rank"] = d.groupby("query_id").cumcount() + 1
-    return d

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkspark.llm import chat, components, langid, lattice, minhash, neighbours, packing, queries, secrets, simhash, suffix, tokencount
+from linkspark.llm import chat, components, langid, lattice, minhash, packing, queries, secrets, simhash, suffix, tokencount
 from linkspark.llm.common import fresh_path
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -204,21 +204,6 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_neighbours(spark):
-    r = np.random.default_rng(6)
-    v = r.normal(size=(600, 16)).astype("float32")
-    v[40:50] = v[40]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(9000, None), (9020, [0.0] * 16), (9040, [float("nan")] * 16), (9060, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    got = neighbours.search(df, k=20, every=20, parts=4, probes=4).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
-    want = neighbours.brute_force(np.arange(600), v.astype(float)).sort_values(["query_id", "rank"]).reset_index(drop=True)
-    assert got.vec_id.tolist() == want.vec_id.tolist() and np.array_equal(got.score, want.score)
-    few = neighbours.search(df, k=20, every=20, parts=4, probes=3).toPandas()
-    both = few.merge(want, on=["query_id", "vec_id"])
-    assert len(both) / len(want) > 0.6
-    assert neighbours.search(df.where("vec_id < 0")).count() == 0
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
