@@ -113,6 +113,39 @@ class Memo(dict):
         return value
 
 
+#: Bytes of the objects that hold an entry of a memo.
+OBJECTS = 360
+
+
+class Generations(dict):
+    """word -> value, made on first use, within two generations of at most `most` bytes each: what is used again while
+    its generation is the older one moves to the younger, and the rest goes when that is full.
+
+    size says the bytes of a word and its value beyond OBJECTS.
+    """
+
+    def __init__(self, make, most: int, size, longest: int = 64):
+        super().__init__()
+        self.make, self.most, self.size, self.longest, self.used, self.older = make, most, size, longest, 0, {}
+
+    def __missing__(self, word):
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+            if len(word) > self.longest:
+                return value
+        self.keep(word, value)
+        return value
+
+    def keep(self, word, value) -> None:
+        self.used += OBJECTS + self.size(word, value)
+        if self.used > self.most:
+            self.older = dict(self)
+            self.clear()
+            self.used = OBJECTS + self.size(word, value)
+        self[word] = value
+
+
 U = np.uint64
 
 
