@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -92,25 +93,23 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keys
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keys)
 
 
-def file_digest(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+def freeing(run):
+    """run(batches), after which the worker gives back the memory that its arrays no longer use: it lives on, idle, while
+    other stages of the same executor run."""
 
+    def through(batches):
+        yield from run(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # a C library without it
+            pass
 
-class Memo(dict):
-    """word -> value, made on first use; emptied at `most` entries, so that a worker's memory is bounded."""
+    return through
 
-    def __init__(self, make, most: int = 400_000, longest: int = 64):
-        super().__init__()
-        self.make, self.most, self.longest = make, most, longest
 
-    def __missing__(self, word):
-        value = self.make(word)
-        if len(word) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = value
-        return value
+def file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
 
 
 #: Bytes of the objects that hold an entry of a memo.
@@ -176,7 +175,7 @@ SPACES = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 WIDE_SPACES = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 #: Odd numbers whose powers weigh the words of a run, and the words of which the powers are kept.
 BASES = {1: 0x9E3779B97F4A7C15, 2: 0xD1342543DE82EF95, 3: 0xBF58476D1CE4E5B9}
-KEPT = 1 << 20
+KEPT = 1 << 18
 POWERS: dict = {}
 
 

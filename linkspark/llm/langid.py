@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import texts
+from .common import freeing, texts
 
 #: Training documents of a language at most, bytes taken of each, bytes of a text that are coded at once, and zstandard's level.
 SAMPLE, PART, BLOCK, LEVEL = 160, 1024, 1024, 3
@@ -119,4 +119,4 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
             keep = [not coder.rejects(t or "", *coder(t or "")) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import OBJECTS, Generations, U, mix, texts
+from .common import freeing, Generations, mix, OBJECTS, texts, U
 from .tokenizing import load
 
 MARK = "▁"
@@ -319,7 +319,7 @@ def segment(docs: DataFrame, model_path: str, best: int = 4, id_col: str = "doc_
             kinds = (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], FIELDS.replace(",", "").split()[::2])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, FIELDS)
+    return texts(docs, id_col, text_col).mapInArrow(freeing(run), FIELDS)
 
 
 class Kinds(dict):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, cut, drop, mix, numbered, shingle_hashes, texts, word_hashes
+from .common import cut, drop, freeing, mix, numbered, shingle_hashes, texts, U, word_hashes
 from .components import components
 
 #: 32 bands of 5 minima: a link at similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
@@ -60,7 +60,7 @@ def signed(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) ->
                     x.append(y)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "file", "nth")), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())], TABLE.replace(",", "").split()[::2])
 
-    return docs.mapInArrow(run, TABLE)
+    return docs.mapInArrow(freeing(run), TABLE)
 
 
 def band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -91,7 +91,7 @@ def sets_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["rid", "shingles"])
 
     few = F.broadcast(reps) if reps.count() <= FEW_IDS else reps
-    return docs.join(few, ["file", "nth"]).select("rid", "text").mapInArrow(run, "rid long, shingles binary")
+    return docs.join(few, ["file", "nth"]).select("rid", "text").mapInArrow(freeing(run), "rid long, shingles binary")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -103,16 +103,16 @@ def scan(docs: DataFrame, model: tuple[list[float], float], id_col: str = "doc_i
     rows = rows.withColumns({f"{k}_p": places(k) for k in KINDS})
     rows = rows.withColumn("assign_p", F.filter("assign_p", lambda x: F.element_at("assign_v", x["i"]) >= 6))
     rows = rows.withColumn("base", F.array_sort(F.concat("assign_p", "access_p", "hex_p")))
-    # one constant that Spark folds: an array of literals would be thousands of nodes of the driver's plan, at every use
-    ratio = F.split(F.lit(",".join(map(repr, map(float, model[0])))), ",").cast("array<double>")
+    # one constant that Spark folds, and once in the plan: what uses it gets it as a variable (see randoms)
+    table = F.split(F.lit(",".join(map(repr, map(float, model[0])))), ",").cast("array<double>")
 
-    def score(s):
+    def score(s, ratio):
         codes = F.concat(F.array(F.lit(0)), symbols(s))
         return F.aggregate(F.sequence(F.lit(2), F.size(codes)), F.lit(0.0), lambda acc, i: acc + F.element_at(ratio, F.element_at(codes, i - 1) * SIZE + F.element_at(codes, i) + 1)) / F.char_length(s)
 
     state = "struct<sum:double,late:double,low:double,start:int,base:double,best:double,out:array<struct<start:int,end:int>>>"
 
-    def parts(s):
+    def parts(s, ratio):
         """(start, end) of disjoint parts of s, from edge to edge and of LEAST or more characters, of which the mean
         ratio reaches the threshold: in order, one for every place where such a part ends that no part before holds.
 
@@ -154,9 +154,13 @@ def scan(docs: DataFrame, model: tuple[list[float], float], id_col: str = "doc_i
 
     own = lambda x: F.element_at(F.col("random_m"), x["i"])
     free = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    moved = lambda x: F.transform(parts(own(x)), lambda y: F.struct((x["start"] + y["start"]).alias("start"), x["kind"].alias("kind"), (x["start"] + y["end"]).alias("end"), x["i"].alias("i")))
-    found = lambda x: F.when(free(x) & (score(own(x)) >= model[1]), F.array(x)).when(own(x).rlike(f"[{EDGES}]"), F.filter(moved(x), free)).otherwise(F.slice(F.array(x), 1, 0))
-    rows = rows.withColumn("random_p", F.flatten(F.transform("random_p", found)))
+
+    def randoms(ratio):
+        moved = lambda x: F.transform(parts(own(x), ratio), lambda y: F.struct((x["start"] + y["start"]).alias("start"), x["kind"].alias("kind"), (x["start"] + y["end"]).alias("end"), x["i"].alias("i")))
+        found = lambda x: F.when(free(x) & (score(own(x), ratio) >= model[1]), F.array(x)).when(own(x).rlike(f"[{EDGES}]"), F.filter(moved(x), free)).otherwise(F.slice(F.array(x), 1, 0))
+        return F.flatten(F.transform("random_p", found))
+
+    rows = rows.withColumn("random_p", F.element_at(F.transform(F.array(table), randoms), 1))
     spans = F.array_sort(F.concat("base", "random_p"))
     return rows.select("row.*", spans.alias("__spans")) if keep else rows.select("doc_id", "text", "base", spans.alias("spans"))
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, Words, cut, drop, mix, numbered, run_hashes, texts
+from .common import cut, drop, freeing, mix, numbered, run_hashes, texts, U, Words
 
 #: A window of WINDOW grams of GRAM words has one retained suffix.
 GRAM, WINDOW = 4, 30
 #: Bytes of text whose words are handled at once, and class representatives (80 bytes each) that are broadcast at most.
-PART, FEW = 4 << 20, 100_000
+PART, FEW = 1 << 20, 100_000
 #: Where an occurrence stands: rows without an id come last, rows that repeat an id by their place in the files.
 PLACE = ["no_id", "doc_id", "file", "nth", "span"]
 ROW = "head long, ctx long, no_id boolean, doc_id long, file long, nth long, span long"
@@ -73,7 +73,7 @@ def suffixes(docs: DataFrame, least: int) -> DataFrame:
                 cols = [run_hashes(w.sums(1), 1, p, size).view(np.int64), ctx.view(np.int64), ids.is_null(), ids, take("file"), take("nth"), spans]
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], [*ROW.replace(",", "").split()[::2]])
 
-    return docs.mapInArrow(run, ROW)
+    return docs.mapInArrow(freeing(run), ROW)
 
 
 def neighbours(rows: DataFrame, keys: list[str], inner: list[str]) -> DataFrame:
@@ -118,7 +118,7 @@ def neighbours(rows: DataFrame, keys: list[str], inner: list[str]) -> DataFrame:
             one = lambda x: np.array([x])
             yield from flagged(held[0], one(held[1]), one(False), one(held[2]), one(2 + int(first)))
 
-    out = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, kinds))
+    out = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(freeing(run), kinds))
     edges = out.where("edge > 0").select("range", "edge", *keys, *inner).collect()
     tops = sorted((e for e in edges if e["edge"] & 1), key=lambda e: e["range"])
     ends = {e["range"]: e for e in edges if e["edge"] & 2}
@@ -160,7 +160,7 @@ def windows(classes: DataFrame, least: int) -> DataFrame:
                 names = kinds.replace(",", "").split()[::2]
                 yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
-    return classes.mapInArrow(run, kinds)
+    return classes.mapInArrow(freeing(run), kinds)
 
 
 def merged(spans: list[int]) -> list[tuple[int, int]]:
@@ -174,6 +174,22 @@ def merged(spans: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def joined(row: np.ndarray, span: np.ndarray, rows: int) -> pa.ListArray:
+    """The spans of each of the rows merged, as lists of (start, end)."""
+    order = np.lexsort((span, row))
+    row, span = row[order], span[order]
+    start, end = span >> 32, span & 0xFFFFFFFF
+    reach = np.maximum.accumulate((row << 33) + end) if len(row) else end
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] << 33) + start[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(row)]]) - 1 if len(first) else first
+    until = reach[last] - (row[last] << 33) if len(first) else end
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=rows))])
+    pairs = pa.StructArray.from_arrays([pa.array(start[first].astype(np.int32)), pa.array(until.astype(np.int32))], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs)
+
+
 PAIRS = "array<struct<start:int,end:int>>"
 FOUND = f"file long, nth long, doc_id long, repeats {PAIRS}, cuts {PAIRS}"
 
@@ -210,15 +226,15 @@ def located(docs: DataFrame, least: int) -> DataFrame:
     lists = every.groupBy("file", "nth").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.collect_list("spans")).alias("spans"))
 
     def run(batches):
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        pairs = lambda x: [{"start": a, "end": b} for a, b in merged(x)]
         for b in batches:
-            spans = b.column("spans").to_pylist()
-            repeats = pa.array((pairs({y["span"] for y in x}) for x in spans), kind)
-            cuts = pa.array((pairs({y["span"] for y in x if y["cut"]}) for x in spans), kind)
-            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("nth"), b.column("doc_id"), repeats, cuts], ["file", "nth", "doc_id", "repeats", "cuts"])
-
-    out = cut(lists.mapInArrow(run, FOUND))
+            spans = b.column("spans")
+            each = spans.flatten()
+            row = np.repeat(np.arange(b.num_rows), spans.value_lengths().to_numpy())
+            span, cuts = each.field("span").to_numpy(), each.field("cut").to_numpy(zero_copy_only=False)
+            lists = [joined(row, span, b.num_rows), joined(row[cuts], span[cuts], b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("nth"), b.column("doc_id"), *lists], ["file", "nth", "doc_id", "repeats", "cuts"])
+
+    out = cut(lists.mapInArrow(freeing(run), FOUND))
     drop(found, known)
     return out
 

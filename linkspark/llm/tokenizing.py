@@ -11,8 +11,10 @@ import array
 import os
 import re
 
-from .common import Memo
+from .common import Generations
 
+#: Bytes that the words kept by a worker take at most, in each of two generations.
+MEMO = 40 << 20
 #: Characters that NFC leaves alone and whose lower case is one character: ASCII, and Latin-1 without its digits,
 #: fractions and spaces. OTHER holds those of them that are neither letters, digits nor white space.
 SIMPLE = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]*").fullmatch
@@ -31,7 +33,7 @@ class WordBpe:
 
         self.t = Tokenizer.from_file(path)
         self.special = re.compile("|".join(map(re.escape, (x.content for x in self.t.get_added_tokens_decoder().values()))) or r"(?!)").search
-        self.memo = Memo(self.whole, 300_000)
+        self.memo = Generations(self.whole, MEMO, lambda word, ids: len(word) + len(ids))
 
     def whole(self, text: str) -> bytes:
         return array.array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
@@ -52,7 +54,7 @@ class PieceBpe:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.splits = not any(re.search("[^▁]▁", self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size()))
-        self.memo = Memo(lambda w: len(self.sp.encode(w)))
+        self.memo = Generations(lambda w: len(self.sp.encode(w)), MEMO, lambda word, n: len(word))
 
     def count(self, text: str) -> int:
         if not text:

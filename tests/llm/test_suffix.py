@@ -103,3 +103,13 @@ def test_other_columns_and_long_texts(spark):
     assert [(out[k]["file"], out[k]["head"]) for k in (1, 2, 3)] == [(7, "a"), (8, "b"), (9, None)]
     path = cut(df)
     assert suffix.repeats(path, 50).count() == 3
+
+
+def test_joined_spans_are_those_of_merged():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 40, 300):
+        row = r.integers(0, 9, n)
+        start = r.integers(0, 200, n)
+        span = start << 32 | start + r.integers(1, 30, n)
+        got = suffix.joined(row, span, 10).to_pylist()
+        assert [[(x["start"], x["end"]) for x in y] for y in got] == [suffix.merged(span[row == k].tolist()) for k in range(10)]
