@@ -129,22 +129,30 @@ def otsu(n: np.ndarray) -> float:
 
 
 def valley(n: np.ndarray, radius: int = 2, apart: float = 0.10, ratio: float = 0.5) -> float:
-    """The middle of the lowest stretch between the highest peak and the next one that a valley parts from it; else NaN."""
-    bins = len(n)
-    s = np.array([n[max(0, i - radius) : i + radius + 1].mean() for i in range(bins)])
-    if not s.max() > 0:
+    """The middle of the floor between the two main peaks of a histogram, or NaN where no valley parts them.
+
+    Counts are means over `radius` bins to each side. The main peak is the first highest bin. Its partner is the highest
+    local maximum (the first of equal ones) at least a share `apart` of the bins away, beyond which the counts in between
+    fall to `ratio` of the lower of the two. The running minimum outward from the main peak says, for every bin at once,
+    how deep the way there falls.
+    """
+    bins, width = len(n), 2 * radius + 1
+    sums = np.concatenate([[0.0], np.cumsum(n, dtype=float)])
+    at = np.arange(bins)
+    low, high = np.maximum(0, at - radius), np.minimum(bins, at + radius + 1)
+    level = (sums[high] - sums[low]) / np.minimum(width, high - low)
+    if not bins or not level.max() > 0:
+        return math.nan
+    top = int(level.argmax())
+    floor = np.concatenate([np.minimum.accumulate(level[top::-1])[:0:-1], np.minimum.accumulate(level[top:])])
+    rises, falls = np.diff(level, prepend=-np.inf) >= 0, np.diff(level, append=-np.inf) <= 0
+    partner = rises & falls & (level > 0) & (np.abs(at - top) >= math.ceil(apart * bins)) & (floor <= ratio * np.minimum(level, level[top]))
+    if not partner.any():
         return math.nan
-    top, found = int(s.argmax()), None
-    walls = np.concatenate([[-np.inf], s, [-np.inf]])
-    for p in range(bins):
-        if abs(p - top) < math.ceil(apart * bins) or s[p] <= 0 or s[p] < walls[p] or s[p] < walls[p + 2]:
-            continue
-        lo, hi = min(p, top), max(p, top)
-        low = s[lo : hi + 1].min()
-        if low <= ratio * min(s[top], s[p]) and (found is None or s[p] > s[found[0]]):
-            flat = lo + np.flatnonzero(s[lo : hi + 1] <= low + 1e-12)
-            found = (p, (flat[0] + flat[-1] + 1) / 2 / bins)
-    return math.nan if found is None else float(found[1])
+    other = int(np.where(partner, level, -np.inf).argmax())
+    between = np.arange(min(top, other), max(top, other) + 1)
+    bottom = between[level[between] <= floor[other] + 1e-12]
+    return float((bottom[0] + bottom[-1] + 1) / 2 / bins)
 
 
 def best_threshold(matches: np.ndarray, others: np.ndarray, truth: int) -> tuple[float, float]:
