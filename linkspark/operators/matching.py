@@ -146,10 +146,14 @@ def matching(links: DataFrame, method: str) -> DataFrame:
 
 
 def clip(links: DataFrame) -> DataFrame:
-    """l, r, sim: without WEAK links, greedy by half the similarity, a tenth of the least degree and 0.4 for STRONG, 0.2 for NORMAL."""
+    """l, r, sim: greedy by half the similarity, a tenth of the least degree, and 0.4 for a link that is the best one of
+    both its ends, 0.2 for one end's; links that are no end's best go.
+
+    Degrees count all links. Every vertex has one best link, of equal ones that to the smaller other end.
+    """
     degree = lambda v: F.count(F.lit(1)).over(Window.partitionBy(v))
-    strong = linkage.link_strength(links).where("strength != 'WEAK'")
-    x = strong.withColumns({"dl": degree("l"), "dr": degree("r")})
-    strength = F.when(F.col("strength") == "STRONG", 1.0).otherwise(0.5)
+    first = lambda v, other: F.row_number().over(Window.partitionBy(v).orderBy(F.desc("sim"), other)) == 1
+    x = links.withColumns({"dl": degree("l"), "dr": degree("r"), "bl": first("l", "r"), "br": first("r", "l")}).where("bl or br")
+    strength = F.when(F.col("bl") & F.col("br"), 1.0).otherwise(0.5)
     x = x.select("l", "r", F.col("sim").alias("own"), (0.5 * F.col("sim") + 0.1 * F.least("dl", "dr") + 0.4 * strength).alias("sim")).checkpoint()
     return linkage.greedy_matching(x.select("l", "r", "sim")).select("l", "r").join(x.select("l", "r", F.col("own").alias("sim")), ["l", "r"])

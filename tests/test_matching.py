@@ -55,6 +55,11 @@ def test_clip(spark):
     rows = [("a1", "b1", 0.9), ("a1", "b2", 0.8), ("a2", "b1", 0.85), ("a2", "b2", 0.2)]
     got = matching.clip(spark.createDataFrame(rows, "l string, r string, sim double")).collect()
     assert {(x.l, x.r, x.sim) for x in got} == {("a1", "b1", 0.9)}
+    rows = [("a", "w", 0.81), ("a", "x", 0.80), ("c", "w", 0.49), ("c", "x", 0.61), ("d", "x", 0.68)]  # degrees of all links count
+    got = matching.clip(spark.createDataFrame(rows, "l string, r string, sim double")).collect()
+    assert {(x.l, x.r) for x in got} == {("a", "w"), ("c", "x")}
+    rows = [(a, b, 0.5) for a in "ab" for b in "xy"]  # of equal links each vertex has one best
+    assert {(x.l, x.r) for x in matching.clip(spark.createDataFrame(rows, "l string, r string, sim double")).collect()} == {("a", "x")}
     s = np.array([[0, 0.9, 0.8, 0], [0.9, 0, 0.7, 0], [0.8, 0.7, 0, 0.6], [0, 0, 0.6, 0]])
     assert clustering.clip(s, ["A", "B", "C", "A"]) == [0, 0, 0, 3]
 
