@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,12 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        from tempfile import mkdtemp
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp())
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -202,11 +206,16 @@ w as (select rid as a, rid as c from d union select w.a, u.b from w join u on u.
 select a as rid, min(c) as cluster_id from w group by a""")
 def link_documents(spark, sf_dir):
     """Flagship: normalised documents are blocked, compared within and across sources, and resolved to clusters."""
-    d, pairs = doc_pairs(spark, sf_dir)
-    n = d.select("rid", "norm")
-    x = pairs.join(n.select(F.col("rid").alias("l"), F.col("norm").alias("x")), "l").join(n.select(F.col("rid").alias("r"), F.col("norm").alias("y")), "r")
-    links = x.where(similarity.qgram(F.col("x"), F.col("y")) >= 0.7).select("l", "r")
-    return linkage.link_table(d, links)
+    d = doc_records(spark, sf_dir)
+    long = d.where(F.char_length("norm") >= 12).groupBy("norm").agg(F.min("rid").alias("rid"))  # equal records are linked through one
+    n = long.select("rid", "norm", F.array_distinct(features.qgrams(3)(F.col("norm"))).alias("grams"), F.lit("").alias("party"), F.lit(False).alias("duplicate_free")).checkpoint()
+    pairs = linkage.candidate_pairs(n, n.select("rid", F.lit(0).alias("key_id"), F.substring("norm", 1, 12).alias("key_value")))
+    x = pairs.join(n.select(F.col("rid").alias("l"), F.col("grams").alias("x")), "l").join(n.select(F.col("rid").alias("r"), F.col("grams").alias("y")), "r")
+    x = x.where(F.least(F.size("x"), F.size("y")) >= 0.7 * F.greatest(F.size("x"), F.size("y")))
+    links = x.where(similarity.jaccard_of_distinct(F.col("x"), F.col("y")) >= 0.7).select("l", "r").checkpoint()
+    found = linkage.link_table(n, links).withColumnRenamed("rid", "first")
+    whole = d.join(long.withColumnRenamed("rid", "first"), "norm", "left").join(found, "first", "left")
+    return whole.select("rid", F.coalesce("cluster_id", "rid").alias("cluster_id"))
 
 
 def whole_records(spark, sf_dir) -> DataFrame:

@@ -56,6 +56,12 @@ def set_jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))).cast("double"), F.lit(0.0))
 
 
+def jaccard_of_distinct(a: Column, b: Column) -> Column:
+    """As set_jaccard, of arrays without repetitions: their intersection is made once, and no union."""
+    inter = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(inter, F.size(a) + F.size(b) - inter).cast("double"), F.lit(0.0))
+
+
 def set_dice(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(2 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)).cast("double"), F.lit(0.0))
 
