@@ -11,11 +11,11 @@ from .tokenizing import counter
 
 
 def cached(spark, cache_path: str, version: str) -> DataFrame:
-    """The counts stored for one tokenizer version: digest, n_tokens."""
+    """The counts stored for one tokenizer version: digest, n_tokens, a digest that two writers stored once only."""
     at = f"{cache_path}/version={version}"
     if not path_exists(spark, at):
         return spark.createDataFrame([], "digest binary, n_tokens long")
-    return spark.read.schema("digest binary, n_tokens long").parquet(at)
+    return spark.read.schema("digest binary, n_tokens long").parquet(at).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
@@ -23,7 +23,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
 
     Content is normalised (null becomes empty; a tokenizer sees everything else) and digested with SHA-256; the digest
     of the tokenizer's file is the version. Digests without a stored count are encoded once each and appended to the
-    cache by Spark's committer (a lost executor leaves no half file; one writer per cache at a time), then all rows are
+    cache by Spark's committer (a lost executor leaves no half file; what two writers both store counts once), then all rows are
     joined to it. Texts of copies meet as digests first within a task, so that a group of copies is one row of the
     shuffle per task. Null and empty texts have 0 tokens; repeated rows give repeated rows; an empty table gives none.
     """
