@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import bits, features, hardening, hashing, lsh, normalize, similarity
 from .operators import clustering, linkage, matching, profile, quality, similar
 from .plans import incremental
+from .streaming import rounds
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -279,7 +280,7 @@ def cluster_differences(spark, sf_dir):
 @query("select user_id, min(event_id) as event_id from events group by user_id")
 def first_payloads(spark, sf_dir):
     """At-least-once delivery: the first event of each sender wins."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    return rounds.first_received(table(spark, sf_dir, "events"), ["user_id"], ["event_id"]).select("user_id", "event_id")
 
 
 BITS = BLOOM.replace("+ 2147483648 + 8589934592) % 4294967296", "+ 2147483648 + 4 * 4294967296) % 4294967296")
@@ -399,6 +400,103 @@ def incremental_links(spark, sf_dir):
     return incremental.plan(n.where("not old"), history, within(parts["false"]), similar.between(parts["false"], parts["true"], found), [])
 
 
+RAW = "concat('  É', p_name, '. Z0-', p_partkey, ' ß ö_(x) ')"
+FLAT = f"strip_accents(regexp_replace(translate(lower({RAW}), '012459', 'olzqsg'), '[[:punct:]]', '', 'g'))"
+SPELLED = "replace(replace(replace(replace(replace(replace(replace({0}, 'ä', 'ae'), 'Ä', 'AE'), 'ö', 'oe'), 'Ö', 'OE'), 'ü', 'ue'), 'Ü', 'UE'), 'ß', 'ss')"
+
+
+@query(f"""select p_partkey, trim({RAW}) as trimmed, regexp_replace({RAW}, '\\s+', '', 'g') as whitespace, regexp_replace({RAW}, '[[:punct:]]', '', 'g') as punctuation,
+regexp_replace({RAW}, '[^a-zA-Z0-9_]', '', 'g') as special, regexp_replace({RAW}, '[0-9]', '', 'g') as digits, regexp_replace({RAW}, '[^0-9]', '', 'g') as non_digits, strip_accents({RAW}) as accents, {SPELLED.format(RAW)} as umlauts from part""")
+def removed_characters(spark, sf_dir):
+    """Normalisers that drop or spell out characters."""
+    p = raw_parts(spark, sf_dir)
+    names = {"trimmed": "trim", "whitespace": "whitespace", "punctuation": "punctuation", "special": "special", "digits": "digits", "non_digits": "non_digits", "accents": "accents", "umlauts": "umlauts"}
+    return p.select("p_partkey", *(normalize.NORMALIZERS[f](F.col("raw")).alias(c) for c, f in names.items()))
+
+
+def raw_parts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select("*", F.concat(F.lit("  É"), "p_name", F.lit(". Z0-"), F.col("p_partkey").cast("string"), F.lit(" ß ö_(x) ")).alias("raw"))
+
+
+@query(f"""select p_partkey, translate({RAW}, 'olzqsg', '012459') as letters_to_digits_lower, translate({RAW}, 'OLZASGB', '0124568') as letters_to_digits_upper, translate({RAW}, '0124568', 'OLZASGB') as digits_to_letters_upper,
+regexp_replace({SPELLED.format(FLAT)}, '\\s+', '', 'g') as standard_string, regexp_replace(translate(translate({RAW}, 'olzqsg', '012459'), 'OLZASGB', '0124568'), '[^0-9]', '', 'g') as standard_number,
+substr(regexp_replace(strip_accents(upper(trim(concat(' É', p_name, '-', p_partkey, ' ö ')))), '[^a-zA-Z0-9_]', '', 'g'), 1, 20) as service_text, regexp_replace(p_brand, '[^0-9]', '', 'g') as service_number,
+(['mal', 'fem', 'other thing', 'oth'])[p_partkey % 4 + 1] as gender, case when p_partkey % 3 = 0 then '' else p_name end as without_null, translate(p_name, 'ae', 'xy') as replaced, replace(replace(p_name, 'ar', 'B'), 'e', 'EE') as spelled from part""")
+def standard_fields(spark, sf_dir):
+    """Normalisers by tables of characters and strings, and the standard chains."""
+    p = raw_parts(spark, sf_dir)
+    n, raw = normalize.NORMALIZERS, F.col("raw")
+    text = F.concat(F.lit(" É"), "p_name", F.lit("-"), F.col("p_partkey").cast("string"), F.lit(" ö "))
+    sex = F.get(F.array(F.lit(" M"), F.lit("Female"), F.lit("other thing"), F.lit("OTH")), (F.col("p_partkey") % 4).cast("int"))
+    maybe = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Null "), "p_name")).otherwise(F.col("p_name"))
+    one = {c: n[c](raw) for c in ("letters_to_digits_lower", "letters_to_digits_upper", "digits_to_letters_upper", "standard_string", "standard_number")}
+    one |= {"service_text": n["service_text"](text), "service_number": n["service_number"](F.col("p_brand")), "gender": n["gender"](sex), "without_null": n["null"](maybe)}
+    one |= {"replaced": normalize.replace_characters({"a": "x", "e": "y"})(F.col("p_name")), "spelled": normalize.replace_all({"ar": "B", "e": "EE"})(F.col("p_name"))}
+    return p.select("p_partkey", *(v.alias(c) for c, v in one.items()))
+
+
+@query("""with v as (select p_partkey, p_name, p_brand, substr(p_name, 1, 1 + p_partkey % 5) as v, p_partkey % 10 as d, concat(p_name, ',', p_brand, ', -.', p_type) as m from part)
+select p_partkey, case when length(v) <= 3 then '' else array_to_string([substr(v, i, 3) for i in range(1, length(v) - 1)], '|') end as special_trigrams,
+case when length(v) = 1 then '##' || v else array_to_string([substr('##' || v || '##', i, 3) for i in range(1, length(v) + 3)], '|') end as padded_special, v as identity, case when length(v) < 2 then '' else substr(v, 3, 2) end as by_position, array_to_string(string_split(p_name, ' '), '|') as by_pattern,
+concat(d, '|', (d + 1) % 10, '|', (d + 9) % 10, '|', (d + 2) % 10, '|', (d + 8) % 10) as integer_range, v || '|' || array_to_string(string_split(p_name, ' '), '|') as chained,
+substr(p_name, 1, 4) as head, substr(p_name, 5) as tail, string_split(m, ',')[1] as comma, string_split(m, '.')[1] as dot, string_split(m, '-')[1] as hyphen, lower(hex(p_name)) as hexadecimal, to_base64(encode(p_name)) as base64 from v""")
+def field_features(spark, sf_dir):
+    """Feature extractors, splitters and encodings of text fields."""
+    c = F.col
+    p = table(spark, sf_dir, "part").withColumns({"v": F.substring(c("p_name"), F.lit(1), (1 + c("p_partkey") % 5).cast("int")), "d": (c("p_partkey") % 10).cast("string"), "m": F.concat("p_name", F.lit(","), "p_brand", F.lit(", -."), "p_type")})
+    bar = lambda x: F.array_join(x, "|")
+    first = lambda kind: normalize.split_parts(c("m"), normalize.PATTERNS[kind], 2)[0].alias(kind)
+    padded = features.special_trigrams("#")(c("v"))
+    return p.select(
+        "p_partkey", bar(features.special_trigrams()(c("v"))).alias("special_trigrams"), bar(padded).alias("padded_special"), bar(features.identity(c("v"))).alias("identity"), bar(features.substring(2, 4)(c("v"))).alias("by_position"),
+        bar(features.split_by(" ")(c("p_name"))).alias("by_pattern"), bar(features.integer_range(0, 9, 2)(c("d"))).alias("integer_range"), bar(features.chain(features.identity, lambda x: features.split_by(" ")(c("p_name")))(c("v"))).alias("chained"),
+        normalize.split_at(c("p_name"), 4)[0].alias("head"), normalize.split_at(c("p_name"), 4)[1].alias("tail"), first("comma"), first("dot"), first("hyphen"), normalize.hex_of(c("p_name")).alias("hexadecimal"), normalize.base64_of(c("p_name")).alias("base64"),
+    )
+
+
+@query(f"with {NAMES}, t as (select l, r, list_distinct(string_split(l, '')) as a, list_distinct(string_split(r, '')) as b from p) select l, r, (l = r)::double as exact, round(len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))), 6) as characters, (case when length(l) < length(r) then suffix(r, l) else suffix(l, r) end)::double as suffix from t")
+def more_similarities(spark, sf_dir):
+    a, b = F.col("l"), F.col("r")
+    return name_pairs(spark, sf_dir).select("l", "r", similarity.exact(a, b).alias("exact"), six(similarity.character_jaccard(a, b)).alias("characters"), similarity.suffix(a, b).alias("suffix"))
+
+
+@query(f"""with {BITS}, c as (select name, count(*) as n, max(bit) + 1 as len from b group by name), k as (select p.name as l, q.name as r, count(*) as c11 from b p join b q on p.bit = q.bit and p.name < q.name group by all),
+x as (select l, r, c11, c.n as x, d.n as y, greatest(c.len, d.len) as len from k join c on l = c.name join c d on r = d.name)
+select l, r, c11, x - c11 as c10, y - c11 as c01, 1024 - x - y + c11 as c00, x + y - 2 * c11 as distance, round((x + y - 2 * c11)::double / greatest(x, y), 6) as normalized, round(1 - (x + y - 2 * c11)::double / len, 6) as hamming, round(2.0 * c11 / (x + y), 6)::double as dice, round(c11::double / least(x, y), 6) as overlap, round(c11::double / greatest(x, y), 6) as braun_blanquet, (c11 = least(x, y))::int::double as strict_overlap from x""")
+def bit_similarities(spark, sf_dir):
+    """Distances, similarities and counts of pairs of bit vectors."""
+    v = filters(spark, sf_dir).checkpoint()
+    x = v.select(F.col("rid").alias("l"), F.col("words").alias("a")).join(v.select(F.col("rid").alias("r"), F.col("words").alias("b")), F.col("l") < F.col("r"))
+    a, b = F.col("a"), F.col("b")
+    x = x.withColumns({"n": bits.pair_counts(a, b, 16), "x": bits.ones(a, 16), "y": bits.ones(b, 16)}).where("n.c11 > 0")
+    f = lambda kind: six(similarity.binary(kind, F.col("n.c11"), F.col("x"), F.col("y"))).alias(kind)
+    counts = (F.col(f"n.{c}").cast("bigint").alias(c) for c in ("c11", "c10", "c01", "c00"))
+    return x.select("l", "r", *counts, bits.hamming_distance(a, b, 16).cast("bigint").alias("distance"), six(bits.hamming_distance(a, b, 16, True)).alias("normalized"), six(bits.hamming_similarity(a, b, 16)).alias("hamming"), *map(f, ("dice", "overlap", "braun_blanquet", "strict_overlap")))
+
+
+@query("with r as (select distinct user_id as run_id, event_type as party from events), t as (select run_id, list(party) as there from r where party in ('click', 'error', 'signup') group by run_id), k as (select run_id, [x for x in ['click', 'error', 'signup'] if not list_contains(there, x)] as missing from t) select run_id, len(missing) = 0 as complete, array_to_string(missing, ',') as missing from k")
+def complete_rounds(spark, sf_dir):
+    """The barrier of a round: whether all parties of a run have sent, and who has not."""
+    received = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("party"))
+    return rounds.complete_runs(received, ["click", "error", "signup"]).select("run_id", "complete", F.array_join("missing", ",").alias("missing"))
+
+
+@query("select user_id as id, event_id from events where user_id not in (select c_custkey from customer where c_custkey % 2 = 0)")
+def unknown_records(spark, sf_dir):
+    """Records whose id the history does not hold."""
+    history = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("rid"))
+    return rounds.unknown(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id"), history)
+
+
+@query("with n as (select distinct p_name as a from part), i as (select a, replace(a, ' ', '_') as u, 'x-' || replace(a, ' ', '-') as h from n) select l.a as l, r.a as r, split_part(l.u, '_', 1) = split_part(r.u, '_', 1) as first_part, split_part(l.h, '-', 2) = split_part(r.h, '-', 2) as middle_part, l.u = r.u as same_gid from i l join i r on l.a < r.a")
+def true_match_rules(spark, sf_dir):
+    """What counts as a true match: equal entity ids, or equal first or middle parts of record ids."""
+    x = name_pairs(spark, sf_dir)
+    u, h = (lambda c: F.replace(c, F.lit(" "), F.lit("_"))), (lambda c: F.concat(F.lit("x-"), F.replace(c, F.lit(" "), F.lit("-"))))
+    l, r = F.col("l"), F.col("r")  # noqa: E741
+    return x.select("l", "r", quality.same_first_part(u(l), u(r)).alias("first_part"), quality.same_middle_part(h(l), h(r)).alias("middle_part"), quality.same_gid(u(l), u(r)).alias("same_gid"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -18,6 +18,12 @@ def first_payloads(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return stream.withWatermark("sent", late).dropDuplicatesWithinWatermark(["run_id", "party"])
 
 
+def first_received(received: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of a table of payloads that arrived at least once, the first by `order` of each of `keys`, whole rows."""
+    row = F.struct(*(F.col(c) for c in received.columns))
+    return received.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("row")).select("row.*")
+
+
 def records_of(payload: DataFrame) -> DataFrame:
     return payload.select("run_id", "party", "config_hash", "bit_length", F.explode("records").alias("x")).select("run_id", "party", "config_hash", "bit_length", "x.*")
 
