@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import freeing, Generations, mix, OBJECTS, texts, U
+from .common import OBJECTS, Generations, U, freeing, gathered, mix, texts
 from .tokenizing import load
 
 MARK = "▁"
@@ -48,15 +48,6 @@ def substring_keys(strings: list[str]) -> np.ndarray:
     return mix(out)
 
 
-def gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of flat (of the given sizes, one after the other) that codes number, in their order; and where each
-    begins in that, with the end of all."""
-    starts = np.cumsum(sizes) - sizes
-    taken = sizes[codes]
-    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(taken)])
-    return flat[np.repeat(starts[codes] - ends[:-1], taken) + np.arange(ends[-1])], ends
-
-
 class Lattice:
     """The pieces of a file with scores of a unigram model: its BPE files hold ranks only, so a piece of rank r scores
     -log(r + 2), as under Zipf's law, and a byte of a character that is no piece -2 log(number of pieces), both rounded

@@ -14,7 +14,7 @@ import re
 from .common import Generations
 
 #: Bytes that the words kept by a worker take at most, in each of two generations.
-MEMO = 40 << 20
+MEMO = 96 << 20
 #: Characters that NFC leaves alone and whose lower case is one character: ASCII, and Latin-1 without its digits,
 #: fractions and spaces. OTHER holds those of them that are neither letters, digits nor white space.
 SIMPLE = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]*").fullmatch
