@@ -56,7 +56,12 @@ def evaluate(records: DataFrame, links: DataFrame) -> DataFrame:
     x = links.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).where("l != r").distinct()
     x = x.join(g.select(F.col("rid").alias("l"), F.col("gid").alias("lg")), "l").join(g.select(F.col("rid").alias("r"), F.col("gid").alias("rg")), "r")
     hit = same_gid(F.col("lg"), F.col("rg"))
-    x = x.agg(F.count_if(hit).alias("tp"), F.count_if(~hit).alias("fp")).crossJoin(true_pairs(records))
+    return scores(records, x.agg(F.count_if(hit).alias("tp"), F.count_if(~hit).alias("fp")))
+
+
+def scores(records: DataFrame, counts: DataFrame) -> DataFrame:
+    """As evaluate, from one row of counts (tp, fp)."""
+    x = counts.crossJoin(true_pairs(records))
     x = x.select("tp", "fp", (F.col("truth") - F.col("tp")).alias("fn"), (F.col("most") - F.col("truth") - F.col("fp")).alias("tn"))
     x = x.withColumns({"precision": F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)), "recall": F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0))})
     return x.withColumn("f1", f_measure(F.col("recall"), F.col("precision")))

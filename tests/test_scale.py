@@ -39,3 +39,8 @@ def test_records_from_openings_are_those_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     want = duckdb.sql(f"with {catalog.DOCS.replace('from documents)', f"from '{tmp_path}/documents.parquet/*.parquet')")} select rid, norm from d order by rid").fetchall()
     assert [(x.rid, x.norm) for x in catalog.doc_records(spark, str(tmp_path)).orderBy("rid").collect()] == want
+
+
+def test_linkage_quality_from_group_sizes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog.linkage, "candidate_pairs", lambda *_: pytest.fail("pairs formed"))
+    equals_sql(spark, tmp_path, "documents", ROWS[:60] + ROWS[-6:-1], "doc_id long, text string, source string", "linkage_quality")
