@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import edits
+from . import tiles
+
 # Texts that stand for an invalid value.
 INVALID = ("null", "NULL", "Null", "NaN")
 
@@ -56,10 +60,52 @@ def patterns(rows: DataFrame, column: str, named: dict[str, str]) -> DataFrame:
 
 
 def differences(records: DataFrame, columns: list[str]) -> DataFrame:
-    """errors, pairs, distance: pairs of records of one gid by the number of columns that differ, and their edits."""
-    a = records.select("gid", F.col("rid").alias("l"), *(F.col(c).alias(f"l_{c}") for c in columns))
-    b = records.select("gid", F.col("rid").alias("r"), *(F.col(c).alias(f"r_{c}") for c in columns))
-    x = a.join(b, "gid").where("l < r")
-    wrong = sum((F.when(F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}")), 0).otherwise(1) for c in columns), F.lit(0))
-    edits = sum((F.levenshtein(F.coalesce(f"l_{c}", F.lit("")), F.coalesce(f"r_{c}", F.lit(""))) for c in columns), F.lit(0))
-    return x.select(wrong.alias("errors"), edits.alias("edits")).groupBy("errors").agg(F.count(F.lit(1)).alias("pairs"), F.sum("edits").alias("distance"))
+    """errors, pairs, distance: pairs of records of one gid by the number of columns that differ, and their edits.
+
+    Distinct values are compared once, by tiles; from the pairs of all records of a gid those of one id are taken away.
+    """
+    x = records.where("gid is not null and rid is not null").select("gid", "rid", *(F.col(c).cast("string").alias(f"v{k}") for k, c in enumerate(columns)))
+    values = [f"v{k}" for k in range(len(columns))]
+    again = x.groupBy("gid", "rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gid", "rid")
+    of = lambda d, sign, *by: d.select(F.to_json(F.struct(*by)).alias("block"), F.lit(sign).alias("sign"), *values)
+    rows = of(x, 1, "gid").union(of(x.join(again, ["gid", "rid"]), -1, "gid", "rid"))
+    rows = rows.groupBy("block", "sign", *values).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    equal = rows.select(F.lit(0).alias("errors"), F.expr("sign * (n * (n - 1) div 2)").alias("pairs"), F.lit(0).cast("bigint").alias("distance"))
+    other = tiles.tiled(rows, lambda c, t: differing(c, values, t), "errors int, pairs long, distance long")
+    return equal.union(other).groupBy("errors").agg(F.sum("pairs").alias("pairs"), F.sum("distance").alias("distance")).where("pairs > 0")
+
+
+def differing(rows: dict, values: list[str], parts: list) -> list[tuple]:
+    """errors, pairs, distance of the pairs of different rows of each tile, counted n times n times."""
+    out = []
+    for left, right in parts:
+        sides = []
+        for v in values:
+            own = rows[v]
+            if len({own[k] for k in left} | {own[k] for k in right}) > 1:
+                xs, ys = (list(dict.fromkeys(own[k] for k in side)) for side in (left, right))
+                at, far = {x: k for k, x in enumerate(xs)}, np.empty((len(ys), len(xs)), np.int32)
+                for k, d in edits.distances([x or "" for x in xs], [y or "" for y in ys]):
+                    far[k] = d
+                to = {y: k for k, y in enumerate(ys)}
+                code = np.array([at.get(y, -1) for y in ys])  # the x that equals a y
+                sides.append((far, np.array([at[own[k]] for k in left]), np.array([to[own[k]] for k in right]), code))
+        n, m = (np.array([rows["n"][k] for k in side]) for side in (left, right))
+        most = int(n.sum()) * int(m.sum()) * max(1, sum(int(s[0].max()) for s in sides))
+        if most < 2**53:
+            n, m = n.astype(float), m.astype(float)  # exact, and multiplied faster
+        sums = {}
+        for a in range(0, len(right), 256):
+            wrong, edit = 0, 0
+            for far, x, y, code in sides:
+                y = y[a : a + 256]
+                wrong = wrong + (code[y][:, None] != x[None, :]).astype(np.int8)
+                edit = edit + far[y][:, x]
+            for k in range(1, len(sides) + 1):
+                hit = wrong == k
+                pairs, distance = (int(m[a : a + 256] @ (w @ n)) for w in (hit, edit * hit))
+                old = sums.get(k, (0, 0))
+                sums[k] = old[0] + pairs, old[1] + distance
+        half, sign = 2 if left == right else 1, rows["sign"][left[0]]
+        out += [(k, sign * (p // half), sign * (d // half)) for k, (p, d) in sums.items() if p]
+    return out
