@@ -91,3 +91,31 @@ def test_differences_of_several_columns(spark, tmp_path, monkeypatch):
                 want[1][wrong] += sum(plain(str(a or "") if a != 0 else "0", str(b or "") if b != 0 else "0") for a, b in zip(x[2:], y[2:], strict=True))
     got = profile.differences(spark.createDataFrame(rows, "rid int, gid string, a string, b string, c int"), ["a", "b", "c"]).collect()
     assert {x.errors: (x.pairs, x.distance) for x in got} == {k: (n, want[1][k]) for k, n in want[0].items()}
+
+
+def copies() -> list:
+    """Blocks of near copies, some about at the threshold, in one block of over a hundred and many small ones."""
+    r, rows = random.Random(7), []
+    for k in range(160):
+        base = random.Random(k % 9).choices("abcdefgh ", k=random.Random(k % 9).choice((20, 90, 190)))
+        for at in r.sample(range(len(base)), r.randint(0, len(base) // 12)):
+            base[at] = "z"
+        rows.append((k, "The opening " * (k % 5 > 0) + f"block number {k % 9}" + "".join(base), "ab"[k % 2]))
+    return rows
+
+
+@pytest.mark.parametrize("size", [4096, 30])
+def test_link_documents_by_tiles(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(profile.tiles.tiled, "__defaults__", (size,))
+    got = equals_sql(spark, tmp_path, "documents", copies() + [(3, copies()[8][1], "b"), (None, copies()[1][1], "a"), (500, None, "a"), (501, "short", "a")], "doc_id long, text string, source string", "link_documents")
+    assert 10 < len({x[1] for x in got}) < 130
+
+
+def test_links_count_few_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog.linkage, "candidate_pairs", lambda *_: pytest.fail("pairs formed"))
+    rows = [(k, "the opening of one block" + "".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=170))) for k in range(6000)]
+    rows += [(10_000 + k, t[:100] + "%04d" % k + t[104:]) for k, t in rows[:50]]
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    spark.createDataFrame([(*x, "a") for x in rows], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.rid: x.cluster_id for x in catalog.link_documents(spark, str(tmp_path)).collect()}
+    assert got == {k: k % 10_000 for k, _ in rows}
