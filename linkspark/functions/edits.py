@@ -55,4 +55,4 @@ def distances(xs: list[str], ys: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         if kind is object:
             yield k, len(y) + counted(up).astype(np.int64) - counted(down).astype(np.int64)
         else:
-            yield k, len(y) + np.bitwise_count(up).astype(np.int64) - np.bitwise_count(down)
+            yield k, np.bitwise_count(up) + np.int32(len(y)) - np.bitwise_count(down)

@@ -79,33 +79,43 @@ def differing(rows: dict, values: list[str], parts: list) -> list[tuple]:
     """errors, pairs, distance of the pairs of different rows of each tile, counted n times n times."""
     out = []
     for left, right in parts:
-        sides = []
-        for v in values:
-            own = rows[v]
-            if len({own[k] for k in left} | {own[k] for k in right}) > 1:
-                xs, ys = (list(dict.fromkeys(own[k] for k in side)) for side in (left, right))
-                at, far = {x: k for k, x in enumerate(xs)}, np.empty((len(ys), len(xs)), np.int32)
-                for k, d in edits.distances([x or "" for x in xs], [y or "" for y in ys]):
-                    far[k] = d
-                to = {y: k for k, y in enumerate(ys)}
-                code = np.array([at.get(y, -1) for y in ys])  # the x that equals a y
-                sides.append((far, np.array([at[own[k]] for k in left]), np.array([to[own[k]] for k in right]), code))
+        varied = [v for v in values if len({rows[v][k] for side in (left, right) for k in side}) > 1]
         n, m = (np.array([rows["n"][k] for k in side]) for side in (left, right))
-        most = int(n.sum()) * int(m.sum()) * max(1, sum(int(s[0].max()) for s in sides))
-        if most < 2**53:
+        longest = sum(max(len(rows[v][k] or "") for side in (left, right) for k in side) for v in varied)
+        if int(n.sum()) * int(m.sum()) * max(1, longest) < 2**53:
             n, m = n.astype(float), m.astype(float)  # exact, and multiplied faster
-        sums = {}
-        for a in range(0, len(right), 256):
-            wrong, edit = 0, 0
-            for far, x, y, code in sides:
-                y = y[a : a + 256]
-                wrong = wrong + (code[y][:, None] != x[None, :]).astype(np.int8)
-                edit = edit + far[y][:, x]
-            for k in range(1, len(sides) + 1):
-                hit = wrong == k
-                pairs, distance = (int(m[a : a + 256] @ (w @ n)) for w in (hit, edit * hit))
-                old = sums.get(k, (0, 0))
-                sums[k] = old[0] + pairs, old[1] + distance
+        columns = [([rows[v][k] for k in left], [rows[v][k] for k in right]) for v in varied]
+        sums = one_differs(*columns[0], n, m) if len(columns) == 1 else several_differ(columns, n, m)
         half, sign = 2 if left == right else 1, rows["sign"][left[0]]
         out += [(k, sign * (p // half), sign * (d // half)) for k, (p, d) in sums.items() if p]
     return out
+
+
+def one_differs(xs: list, ys: list, n: np.ndarray, m: np.ndarray) -> dict:
+    """pairs, distance by errors, of rows that only one column tells apart: its values are distinct on either side."""
+    at = {x: k for k, x in enumerate(xs)}
+    pairs = int(n.sum()) * int(m.sum()) - sum(int(m[k]) * int(n[at[y]]) for k, y in enumerate(ys) if y in at)
+    return {1: (pairs, sum(int(m[k] * (d @ n)) for k, d in edits.distances([x or "" for x in xs], [y or "" for y in ys])))}
+
+
+def several_differ(columns: list, n: np.ndarray, m: np.ndarray) -> dict:
+    """pairs, distance by errors, of the rows whose columns are given as the values of either side."""
+    sides, sums = [], {}
+    for left, right in columns:
+        xs, ys = list(dict.fromkeys(left)), list(dict.fromkeys(right))
+        at, to, far = {x: k for k, x in enumerate(xs)}, {y: k for k, y in enumerate(ys)}, np.empty((len(ys), len(xs)), np.int32)
+        for k, d in edits.distances([x or "" for x in xs], [y or "" for y in ys]):
+            far[k] = d
+        sides.append((far, np.array([at[x] for x in left]), np.array([to[y] for y in right]), np.array([at.get(y, -1) for y in ys])))
+    for a in range(0, len(m), 256):
+        wrong, edit = 0, 0
+        for far, x, y, same in sides:
+            y = y[a : a + 256]
+            wrong = wrong + (same[y][:, None] != x[None, :]).astype(np.int8)
+            edit = edit + far[y][:, x]
+        for k in range(1, len(sides) + 1):
+            hit = wrong == k
+            pairs, distance = (int(m[a : a + 256] @ (w @ n)) for w in (hit, edit * hit))
+            old = sums.get(k, (0, 0))
+            sums[k] = old[0] + pairs, old[1] + distance
+    return sums
